@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, pieces, pii, quality, tokenstore, toxicity
+from . import media, pieces, pii, quality, simhash, tokenstore, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_toxicity": toxicity.query,
     "op4_token_store": tokenstore.query,
     "op5_pii": pii.query,
+    "op6_simhash": simhash.query,
     "op9_sentencepiece": pieces.query,
     "op10_media": media.query,
 }
