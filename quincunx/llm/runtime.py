@@ -21,6 +21,10 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if (spark.conf.get(key, default) or default).rstrip("b") == default:  # whole texts are long rows; a chosen setting stays
+            spark.conf.set(key, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +50,7 @@ class Workspace:
     def put(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         at = f"{self.top}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(at)
-        return self.get(name, df.schema if not partition_by else None)
+        return self.get(name, df.schema)
 
     def get(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
@@ -107,3 +111,20 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, rest: in
         .limit(most)
     )
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+
+
+def by_key(batches, key: str, columns: list[str]):
+    """(key, rows) of adjacent rows with equal keys; rows: lists, one for each column. Holds one key's rows at a time."""
+    now, held = None, None
+    for batch in batches:
+        keys = batch[key].to_pylist()
+        rows = [batch[c].to_pylist() for c in columns]
+        for k, at in enumerate(keys):
+            if held is None or at != now:
+                if held is not None:
+                    yield now, held
+                now, held = at, [[] for _ in columns]
+            for column, values in zip(held, rows, strict=True):
+                column.append(values[k])
+    if held is not None:
+        yield now, held

@@ -213,10 +213,10 @@ def classes(docs: DataFrame, work: runtime.Workspace, radius: int = 4, words: in
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is their component's; of rows that share an id, all or none stay."""
+    """The rows of docs, all columns, whose doc_id is their component's. Rows that share an id stay or go together; rows without one stay."""
     work = runtime.Workspace(docs.sparkSession)
-    kept = classes(docs, work, radius, words).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = classes(docs, work, radius, words).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
