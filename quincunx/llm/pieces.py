@@ -5,7 +5,8 @@ normaliser, metaspace marker and pieces as a Tokenizer: unigram scores for
 unigram models, merges ranked by piece score for BPE models, with byte fallback.
 
 A text is split where no piece can reach across (before a marker that follows
-another character; checked against the vocabulary), each distinct unit is
+another character, and before a closing sign that follows a letter; both are
+checked against the vocabulary), each distinct unit is
 encoded once by a multithreaded batch and kept in a bounded cache, and each new
 unit's ids are compared with the sentencepiece library's and decoded again. A
 unit on which the two differ takes the library's ids and is counted.
@@ -21,8 +22,10 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +36,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The most units that a worker remembers.
 CACHE_UNITS = 300_000
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 
 
 def default_model() -> str:
@@ -151,8 +155,14 @@ class Codec:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if len(self.model.pieces) <= 65536 else "<u4")
+        #: Ids of marker + word, of stems (a word up to a closing sign, with its marker) and of other units.
+        self.words: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         self.odd: set[str] = set()  # units on which backend and library differ
+        joined = "\n".join(p for p, _, _ in self.model.pieces)
+        closers = "".join(c for c in ".,;:!?" if not re.search(rf"{_LETTER}{re.escape(c)}", joined))
+        self.stem = re.compile(rf"(.*?{_LETTER})([{closers}].*)", re.S) if closers and self.split else None
         self.charsmap = None
         if self.model.charsmap:
             from tokenizers import normalizers
@@ -175,12 +185,11 @@ class Codec:
         text = self.normalise(text)
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.split else [text] if text else []
 
-    def learn(self, units: set[str]) -> None:
+    def _learn(self, units: set[str]) -> None:
         """Ids of units not seen before, by one batch."""
-        if len(self.cache) + len(units) > CACHE_UNITS:
-            self.cache.clear()
-            self.odd.clear()
         new = [u for u in units if u not in self.cache]
+        if len(self.cache) + len(new) > CACHE_UNITS:
+            self.cache = {u: self.cache[u] for u in units if u in self.cache}
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
         expected = self.library.encode([u[1:] for u in new], num_threads=1) if self.library and new else None
         for k, (unit, e) in enumerate(zip(new, found, strict=True)):
@@ -189,26 +198,37 @@ class Codec:
             if expected is not None and self.model.add_dummy_prefix and unit[0] == MARK != unit and expected[k] != ids:
                 ids = expected[k]
                 self.odd.add(unit)
-            self.cache[unit] = tuple(ids)
+            self.cache[unit] = array(self.kind.char, ids).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[int], int]]:
+    def _parts(self, unit: str) -> tuple[str, ...]:
+        found = self.stem.fullmatch(unit) if self.stem else None
+        return found.groups() if found else (unit,)
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """(ids, units that took the library's answer) of each text."""
-        split = [self.units(t) for t in texts]
-        out: list[tuple[list[int], int]] = []
-        for units in split:
-            need = {u for u in units if u not in self.cache}
-            if need:
-                if len(self.cache) + len(need) > CACHE_UNITS:
-                    need = set(units)
-                self.learn(need)
-            cache, ids = self.cache, []
-            for u in units:
-                ids += cache[u]
-            out.append((ids, sum(u in self.odd for u in units) if self.odd else 0))
+        # Words between single blanks are kept by themselves; anything else is cut into units with their markers.
+        quick = self.split and self.model.add_dummy_prefix and self.model.escape_whitespaces and not self.charsmap
+        odd = re.compile(f"  |^ | $|{MARK}")
+        easy = [bool(quick and t and not odd.search(t)) for t in texts]
+        split = [t.split(" ") if e else self.units(t) for t, e in zip(texts, easy, strict=True)]
+        need = set().union(*(s for s, e in zip(split, easy, strict=True) if e))
+        new = need.difference(self.words)
+        if len(self.words) + len(new) > CACHE_UNITS:  # what this batch has stays, with it the frequent words
+            self.words = {w: self.words[w] for w in need if w in self.words}
+        parts = {w: self._parts(MARK + w) for w in new}
+        other = {u: self._parts(u) for s, e in zip(split, easy, strict=True) if not e for u in s}
+        self._learn({x for ps in (*parts.values(), *other.values()) for x in ps})
+        get = self.cache.__getitem__
+        self.words.update((w, b"".join(map(get, ps))) for w, ps in parts.items())
+        other = {u: b"".join(map(get, ps)) for u, ps in other.items()}
+        out = []
+        for units, e in zip(split, easy, strict=True):
+            ids = np.frombuffer(b"".join(map((self.words if e else other).__getitem__, units)), self.kind)
+            out.append((ids, sum(x in self.odd for u in units for x in self._parts(MARK + u if e else u)) if self.odd else 0))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> str:
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         text = raw.decode("utf-8", "replace")
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
 
@@ -231,8 +251,6 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = False) ->
 
     with_ids adds the column ids.
     """
-    import numpy as np
-
     runtime.ship(docs.sparkSession)
     path = model or default_model()
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
@@ -248,14 +266,14 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = False) ->
                 cols = [
                     part["doc_id"],
                     pa.array([len(ids) for ids, _ in coded], pa.int64()),
-                    pa.array([zlib.crc32(np.array(ids, "<u4").tobytes()) for ids, _ in coded], pa.int64()),
+                    pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids, _ in coded], pa.int64()),
                     pa.array(sha),
                     pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back]),
                     pa.array([b == t for b, t in zip(back, texts, strict=True)]),
                     pa.array([n for _, n in coded], pa.int64()),
                 ]
                 if with_ids:
-                    cols.append(pa.array([ids for ids, _ in coded], pa.list_(pa.int32())))
+                    cols.append(pa.array([ids.astype(np.int32) for ids, _ in coded], pa.list_(pa.int32())))
                 yield pa.record_batch(cols, names)
 
     return runtime.id_and_text(docs).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
