@@ -19,7 +19,10 @@ recipes of their own and share chunks; an empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +36,10 @@ from . import runtime
 
 KEY_BYTES = 16
 #: A chunk ends where the rolling hash has CUT_BITS zero bits, has at least LEAST ids and at most MOST.
-CUT_BITS, LEAST, MOST, REACH = 11, 256, 8192, 16
-#: The most words that a worker remembers, and the most chunk keys that a task remembers having written.
+CUT_BITS, LEAST, MOST, REACH = 12, 512, 16384, 16
+#: The most words (or pieces) that a worker remembers between batches, and the most chunk keys that a task remembers having written.
 CACHE_WORDS = 400_000
-SEEN_KEYS = 500_000
+SEEN_KEYS = 200_000
 END_ID = 2
 
 
@@ -46,12 +49,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of these characters take the short way: lower case maps them one to one, NFC leaves them, and which of them are letters is fixed.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: The pre-tokenizer that the short way knows; a file with another one has every word encoded whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet by its public rule: visible bytes stand for themselves, the others follow from 256 on."""
+    out, n = {}, 0
+    for b in range(256):
+        if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174):
+            out[b] = 256 + n
+            n += 1
+    return out
+
+
+class _Kept(dict):
+    """What a function gave for the first keys met; when it had to be asked for others very often, it begins anew."""
+
+    def __init__(self, made, most: int):
+        self.made, self.most, self.missed = made, most, 0
+
+    def __missing__(self, key):
+        value = self.made(key)
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 8 * self.most:
+                self.clear()
+                self.missed = 0
+        return value
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     With by_word, a text is first cut at ASCII white space, which this kind of
-    vocabulary drops and never joins across; each distinct word is encoded once
-    and kept in a bounded cache.
+    vocabulary drops and never joins across. Distinct words are kept in a
+    bounded cache; a word of plain letters and signs is cut into
+    the pre-tokenizer's pieces, whose letter runs go straight to the library's
+    model and are kept too.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -59,33 +100,43 @@ class Encoder:
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words = _Kept(self._word, CACHE_WORDS)
+        self.pieces = _Kept(self._piece, CACHE_WORDS)
+        self.signs = _Kept(lambda piece: self._whole([piece.decode()])[0], 10_000)
+        self.alphabet = _byte_letters()
+        made = json.loads(self.tokenizer.to_str())
+        splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lowers = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.short = splits[:1] == [_PATTERN] and lowers == ["NFC", "Replace", "Lowercase"]
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a letter run in lower case."""
+        shown = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+
+    def _word(self, word: bytes) -> bytes:
+        if self.short:
+            low = word.lower()
+            if low.isalpha():  # bytes: ASCII letters only
+                return self.pieces[low]
+            if low[:-1].isalpha() and low[-1] in b".,":
+                return self.pieces[low[:-1]] + self.signs[low[-1:]]
+            text = word.decode("utf-8", "surrogatepass")
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                return b"".join([self.pieces[p.encode()] if _LETTERS.fullmatch(p) else self.signs[p.encode()] for p in _PIECE.findall(text.lower())])
+        return self._whole([word.decode("utf-8", "surrogatepass")])[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.frombuffer(raw, self.kind) for raw in self._ids(texts)]
-        out = []
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self._learn({w for words in split for w in words if w not in self.cache})
-        for words in split:
-            try:
-                raw = b"".join(map(self.cache.__getitem__, words))
-            except KeyError:  # forgotten meanwhile
-                self._learn({w for w in words if w not in self.cache})
-                raw = b"".join([self.cache[w] if w in self.cache else self._ids([w.decode("utf-8", "surrogatepass")])[0] for w in words])
-            out.append(np.frombuffer(raw, self.kind))
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cache.update(zip(part, self._ids([w.decode("utf-8", "surrogatepass") for w in part]), strict=True))
+            return [np.frombuffer(raw, self.kind) for raw in self._whole(texts)]
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(get, t.encode("utf-8", "surrogatepass").split())), self.kind) for t in texts]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -201,7 +252,6 @@ def write(docs: DataFrame, work: runtime.Workspace, tokenizer: str | None = None
     # One exchange puts equal chunks side by side; a recipe goes wherever its id does.
     dealt = coded.withColumn("to", F.when(F.col("is_chunk"), F.xxhash64("name")).otherwise(F.xxhash64("doc_id", "name"))).repartition("to").sortWithinPartitions("is_chunk", "name").drop("to")
     work.put(dealt.mapInArrow(once, coded.schema), "dealt", ("is_chunk",))
-    work.release()
     dealt = work.get("dealt", coded.schema)
     recipes = (
         dealt.where(~F.col("is_chunk"))
@@ -322,6 +372,7 @@ def checksums(store: Store) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = runtime.Workspace(spark)
     store = write(runtime.table(spark, sf_dir, "documents"), work)
+    work.release()
     found = work.put(checksums(store), "checksums")
     work.release()
     return positions(store).join(found, "root", "left").select("doc_id", "start", F.col("read_tokens").alias("n_tokens"), "ids_crc32")
