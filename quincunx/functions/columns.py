@@ -92,9 +92,9 @@ def dequantize(q: Column) -> Column:
     return F.transform(q, lambda x: x * 0.0001)
 
 
-def whole(v: Column, scale: int, n: int = c.DIM) -> Column:
-    """Fixed-point components as longs."""
-    return F.array(*[F.round(v[k].cast("double") * scale).cast("long") for k in range(n)])
+def whole(v: Column, scale: int) -> Column:
+    """Fixed-point components as longs. One lambda, so that the expression behind v is not repeated for each of them."""
+    return F.transform(v, lambda x: F.round(x.cast("double") * scale).cast("long"))
 
 
 def l2_sq(a: Column, b: Column, n: int = c.DIM, times: int = 1) -> Column:

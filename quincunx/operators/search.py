@@ -17,6 +17,8 @@ from ..functions import columns as f
 
 #: Centroids are broadcast: at most so many, of 14 longs each.
 MOST_CENTROIDS = 65_536
+#: Into how many parts a cluster is cut where it is searched.
+SALTS = 8
 
 
 def first_per(df: DataFrame, key: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -71,11 +73,27 @@ def assign(points: DataFrame, centroids: DataFrame, q: str = "q") -> DataFrame:
 
 
 def probe(queries: DataFrame, probes: DataFrame, postings: DataFrame, fine: bool, k: int = c.NEIGHBOURS) -> DataFrame:
-    """Neighbours of queries (qid, h, q) among the postings (cid, id, label, q) of their probed clusters."""
+    """Neighbours of queries (qid, h, q) among the postings (cid, id, label, q) of their probed clusters (qid, cid, rank).
+
+    The k-th distance in the nearest cluster bounds what the other clusters can
+    add, so that most of their pairs go before anything is sorted or moved.
+    """
     asked, times = ("h", c.FINE // c.SCALE) if fine else ("q", 1)
-    mine = probes.select("qid", "cid").join(queries.select("qid", F.col(asked).alias("asked")), "qid")
-    found = mine.join(postings.select("cid", "id", "label", F.col("q").alias("p")), "cid")
-    return first_per(found.select("qid", "id", "label", f.l2_sq(F.col("asked"), F.col("p"), times=times).alias("dist")), "qid", ["dist", "id"], k)
+    spark = queries.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The pairs are the work, not the bytes: a set number of partitions keeps them from being coalesced, and salts split large clusters.
+    listed = postings.select("cid", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id", "label", F.col("q").alias("p")).repartition(n, "cid", "salt")
+    mine = probes.select("qid", "cid", "rank").join(queries.select("qid", F.col(asked).alias("asked")), "qid")
+    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def pairs(some: DataFrame) -> DataFrame:
+        kept = [x for x in some.columns if x not in ("qid", "asked", "cid", "rank", "salt")]
+        return some.repartition(n, "cid", "salt").join(listed, ["cid", "salt"]).select("qid", "id", "label", f.l2_sq(F.col("asked"), F.col("p"), times=times).alias("dist"), *kept)
+
+    closest = first_per(pairs(mine.where("rank = 1")), "qid", ["dist", "id"], k)
+    bound = closest.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
+    rest = pairs(mine.where("rank > 1").join(bound, "qid", "left")).where("bound is null or dist <= bound").drop("bound")
+    return first_per(closest.drop("rank").unionByName(rest), "qid", ["dist", "id"], k)
 
 
 def check_probes(quick: int, expanded: int) -> tuple[int, int]:

@@ -227,7 +227,7 @@ query("knn5_exact", f"WITH v AS (SELECT vec_id, {o.whole([f'embedding[{k}]' for
 
 
 def _knn64(s, d):
-    v = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), f.whole(F.col("embedding"), c.SCALE, 64).alias("q"), F.lit(0).alias("label"))
+    v = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), f.whole(F.col("embedding"), c.SCALE).alias("q"), F.lit(0).alias("label"))
     asked = v.where("id % 25 = 0").select(F.col("id").alias("qid"), "q")
     found = search.first_per(v.crossJoin(F.broadcast(asked.withColumnRenamed("q", "a"))).where("qid <> id").select("qid", "id", f.l2_sq(F.col("a"), F.col("q"), 64).alias("dist")), "qid", ["dist", "id"], 5)
     return found.select("qid", "id", "dist", "rank")
