@@ -13,7 +13,8 @@ within one task are linked to a representative there, so that a band shared by
 a large part of all lines reaches its bucket once a task, not once a line.
 Within a band's group, lines are compared with the group's smallest; those that
 fail go on as a group of their own, for ROUNDS rounds; what is left then (groups
-of mutually different lines that share a band by chance) is compared pair by pair.
+of lines unlike each other's leaders that share a band) is compared pair by pair,
+where no other band has joined the two.
 
 Null and empty texts have no lines; blank lines are never removed. Rows equal in
 doc_id and text count as one document and get the same result; null ids come
@@ -24,6 +25,7 @@ an empty result. Lines are known by 64-bit hashes of their bytes.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -269,6 +271,13 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> Da
     """pairs (a, b) with the column ok: is their exact similarity at least `similar`?"""
 
     def run(batches):
+        kept = lru_cache(2000)(shingles)  # a leader meets many lines
+
+        def jaccard(a, b):
+            x, y = shingles(a), kept(b)
+            both = len(x & y)
+            return both / (len(x) + len(y) - both)
+
         for batch in batches:
             for part in runtime.small(batch):
                 ok = [jaccard(x, y) >= similar for x, y in zip(part["x"].to_pylist(), part["y"].to_pylist(), strict=True)]
@@ -297,8 +306,13 @@ def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -
         if not members.take(1):
             break
     else:
-        other = members.select("band", F.col("line").alias("b"))
-        pairs = members.withColumnRenamed("line", "a").join(other, "band").where("a > b").select("a", "b").distinct()
+        # Lines that other bands have joined already need no link; groups of one component are done.
+        known = components(edges, work, "so-far")
+        rooted = members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+        rooted = work.put(rooted.join(mixed, "band", "left_semi"), "mixed")
+        other = rooted.select(F.col("band").alias("band2"), F.col("line").alias("b"), F.col("root").alias("root2"))
+        pairs = rooted.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("line") > F.col("b"))).select(F.col("line").alias("a"), "b").distinct()
         edges = edges.union(verified(pairs, lines, similar).where("ok").select("a", "b"))
     return components(edges, work)
 
