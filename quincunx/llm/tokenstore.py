@@ -38,7 +38,7 @@ KEY_BYTES = 16
 #: A chunk ends where the rolling hash has CUT_BITS zero bits, has at least LEAST ids and at most MOST.
 CUT_BITS, LEAST, MOST, REACH = 12, 512, 16384, 16
 #: The most words (or pieces) that a worker remembers between batches, and the most chunk keys that a task remembers having written.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 SEEN_KEYS = 200_000
 END_ID = 2
 
@@ -313,6 +313,11 @@ def positions(store: Store) -> DataFrame:
 
 def streams(store: Store) -> DataFrame:
     """root and body (ids as bytes) of every distinct recipe, rebuilt from its chunks and verified."""
+    return _rebuilt(store, lambda raw: (raw,), [("body", pa.binary(), "binary")])
+
+
+def _rebuilt(store: Store, take, columns: list[tuple]) -> DataFrame:
+    """root and what `take` gives of each distinct recipe's bytes; columns: names, Arrow types, Spark types."""
     recipes = store.recipes.select("root", "keys").dropDuplicates(["root"])
 
     def unfold(batches):
@@ -334,7 +339,11 @@ def streams(store: Store) -> DataFrame:
         def close():
             if merkle(keys) != root:
                 raise ValueError("a recipe differs from its root")
-            return root, b"".join(body)
+            return root, *take(b"".join(body))
+
+        def rows(out):
+            kinds = [pa.binary(), *(kind for _, kind, _ in columns)]
+            return pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["root", *(name for name, _, _ in columns)])
 
         for batch in batches:
             out = []
@@ -348,25 +357,22 @@ def streams(store: Store) -> DataFrame:
                     raise ValueError("a chunk is missing or differs from its key")
                 keys.append(k)
                 body.append(raw)
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["root", "body"])
+            yield rows(out)
         if root is not None:
-            last = close()
-            yield pa.record_batch([pa.array([last[0]], pa.binary()), pa.array([last[1]], pa.binary())], ["root", "body"])
+            yield rows([close()])
 
-    return parts.mapInArrow(join, "root binary, body binary")
+    return parts.mapInArrow(join, ", ".join(["root binary", *(f"{name} {kind}" for name, _, kind in columns)]))
 
 
 def checksums(store: Store) -> DataFrame:
     """root, read_tokens and ids_crc32 (ids as little-endian unsigned 32-bit) of every distinct recipe."""
     kind = store.kind
 
-    def run(batches):
-        for batch in batches:
-            for part in runtime.small(batch):
-                ids = [np.frombuffer(b, kind).astype("<u4") for b in part["body"].to_pylist()]
-                yield pa.record_batch([part["root"], pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], ["root", "read_tokens", "ids_crc32"])
+    def take(raw: bytes):
+        ids = np.frombuffer(raw, kind).astype("<u4")
+        return len(ids), zlib.crc32(ids.tobytes())
 
-    return streams(store).mapInArrow(run, "root binary, read_tokens long, ids_crc32 long")
+    return _rebuilt(store, take, [("read_tokens", pa.int64(), "long"), ("ids_crc32", pa.int64(), "long")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
