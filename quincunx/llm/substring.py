@@ -284,7 +284,7 @@ def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES
         new = index.add(stored.where(~F.col("is_text") & (F.col("batch") == k)).select("bucket", "segment", F.col("body").alias("hashes")))
         told = new if told is None else told.union(new)
     told = work.put(told, "told")
-    work.drop(*[f"run-{k}" for k in range(index.made)])
+    work.drop("segments/is_text=false", *[f"run-{k}" for k in range(index.made)])
     work.release()
 
     def beside(rows: DataFrame) -> DataFrame:
