@@ -17,8 +17,8 @@ from ..functions import columns as f
 
 #: Centroids are broadcast: at most so many, of 14 longs each.
 MOST_CENTROIDS = 65_536
-#: Into how many parts a cluster is cut where it is searched.
-SALTS = 8
+#: About how many rows of a cluster, and how many of its queries, one task holds at once.
+PART_ROWS, PART_QUERIES = 100_000, 20_000
 
 
 def first_per(df: DataFrame, key: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -73,27 +73,55 @@ def assign(points: DataFrame, centroids: DataFrame, q: str = "q") -> DataFrame:
 
 
 def probe(queries: DataFrame, probes: DataFrame, postings: DataFrame, fine: bool, k: int = c.NEIGHBOURS) -> DataFrame:
-    """Neighbours of queries (qid, h, q) among the postings (cid, id, label, q) of their probed clusters (qid, cid, rank).
+    """Neighbours of queries (qid, h, q) among the postings (cid, id, label, q) of their probed clusters (qid, cid).
 
-    The k-th distance in the nearest cluster bounds what the other clusters can
-    add, so that most of their pairs go before anything is sorted or moved.
+    A cluster and the queries that ask for it are cut into parts of about
+    PART_ROWS and PART_QUERIES rows, by hash and by counts (one row a cluster, at
+    most MOST_CENTROIDS, broadcast). A task compares one part of each in Arrow
+    batches and sends on k rows a query at most: pairs are never rows.
     """
-    asked, times = ("h", c.FINE // c.SCALE) if fine else ("q", 1)
+    asked, times, dim = ("h", c.FINE // c.SCALE, c.DIM) if fine else ("q", 1, c.DIM)
     spark = queries.sparkSession
+    # The comparisons are the work, not the bytes: a set number of partitions keeps them from being coalesced.
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # The pairs are the work, not the bytes: a set number of partitions keeps them from being coalesced, and salts split large clusters.
-    listed = postings.select("cid", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), "id", "label", F.col("q").alias("p")).repartition(n, "cid", "salt")
-    mine = probes.select("qid", "cid", "rank").join(queries.select("qid", F.col(asked).alias("asked")), "qid")
-    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def pairs(some: DataFrame) -> DataFrame:
-        kept = [x for x in some.columns if x not in ("qid", "asked", "cid", "rank", "salt")]
-        return some.repartition(n, "cid", "salt").join(listed, ["cid", "salt"]).select("qid", "id", "label", f.l2_sq(F.col("asked"), F.col("p"), times=times).alias("dist"), *kept)
-
-    closest = first_per(pairs(mine.where("rank = 1")), "qid", ["dist", "id"], k)
-    bound = closest.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
-    rest = pairs(mine.where("rank > 1").join(bound, "qid", "left")).where("bound is null or dist <= bound").drop("bound")
-    return first_per(closest.drop("rank").unionByName(rest), "qid", ["dist", "id"], k)
+    parts = lambda x, most: F.ceil(x / most).cast("int")
+    sizes = postings.groupBy("cid").agg(parts(F.count("*"), PART_ROWS).alias("rows"))
+    sizes = F.broadcast(sizes.join(probes.groupBy("cid").agg(parts(F.count("*"), PART_QUERIES).alias("queries")), "cid"))
+    of = lambda key, most: F.pmod(F.xxhash64(key), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    key = ["cid", "i", "j"]
+    mine = probes.select("qid", "cid").join(queries.select("qid", F.col(asked).alias("asked")), "qid").join(sizes, "cid")
+    mine = mine.withColumn("j", of("qid", "queries")).select("cid", every("rows").alias("i"), "j", "qid", "asked")
+    listed = postings.select("cid", "id", "label", "q").join(sizes, "cid").withColumn("i", of("id", "rows")).select("cid", "i", every("queries").alias("j"), "id", "label", "q")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        matrix = lambda column: column.combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, dim)
+        right = right.sort_by("id")
+        a, p = matrix(left["asked"]), matrix(right["q"]).T * times
+        step = max(1, 2_000_000 // max(1, p.shape[1]))
+        who, which, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(a) if p.shape[1] else 0, step):
+            some = a[at : at + step]
+            dist = np.zeros((len(some), p.shape[1]), np.int64)
+            for d in range(dim):
+                gap = some[:, d, None] - p[d]
+                gap *= gap
+                dist += gap
+            most = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if p.shape[1] > k else dist.max(1, keepdims=True)
+            row, col = np.nonzero(dist <= most)
+            order = np.lexsort((col, dist[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[keep], col[keep]
+            who.append(row + at)
+            which.append(col)
+            far.append(dist[row, col])
+        who, which = pa.array(np.concatenate(who)), pa.array(np.concatenate(which))
+        return pa.table({"qid": left["qid"].take(who), "id": right["id"].take(which), "label": right["label"].take(which), "dist": pa.array(np.concatenate(far))})
+
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *[T.StructField(x, postings.schema[x].dataType) for x in ("id", "label")], T.StructField("dist", T.LongType())])
+    found = mine.repartition(n, *key).groupBy(*key).cogroup(listed.repartition(n, *key).groupBy(*key)).applyInArrow(nearest, schema)
+    return first_per(found, "qid", ["dist", "id"], k)
 
 
 def check_probes(quick: int, expanded: int) -> tuple[int, int]:

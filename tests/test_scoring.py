@@ -60,6 +60,18 @@ def test_index_round_trip(spark, tmp_path):
         cluster.load(spark, str(tmp_path))
 
 
+def test_probe_in_parts(spark, monkeypatch):
+    """Parts of a few rows, ties, a cluster without rows and a query of it alone, against comparing all."""
+    monkeypatch.setattr(search, "PART_ROWS", 7)
+    monkeypatch.setattr(search, "PART_QUERIES", 3)
+    refs = spark.createDataFrame([(i, i % 2, [(i * 7919) % 5 * 100] * 14, i % 3) for i in range(90)], "id long, label int, q array<bigint>, cid int")
+    asked = spark.createDataFrame([(i, [i * 40] * 14) for i in range(11)], "qid long, q array<bigint>")
+    probes = asked.where("qid < 10").crossJoin(spark.range(3).selectExpr("cast(id as int) cid")).select("qid", "cid").union(spark.createDataFrame([(10, 9)], "qid long, cid int"))
+    rows = lambda df: sorted((r["qid"], r["rank"], r["id"], r["label"], r["dist"]) for r in df.collect())
+    assert rows(search.probe(asked, probes, refs, False)) == rows(search.exact(asked.where("qid < 10"), refs))
+    assert search.probe(asked, probes, refs.where("id < 0"), False).count() == 0
+
+
 def _plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "None"
