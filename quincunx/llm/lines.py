@@ -50,9 +50,27 @@ def shingles(line: str) -> set[str]:
     return {low[k : k + SHINGLE] for k in range(max(1, len(low) - SHINGLE + 1))}
 
 
-def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
+def packed_shingles(line: str) -> np.ndarray | None:
+    """The same set, sorted, a byte to a code point; None for a line that has others or less than a shingle."""
+    try:
+        low = line.lower().encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(low) < SHINGLE:
+        return None
+    values = np.sort(np.ndarray(len(low) - SHINGLE + 1, np.uint64, low, strides=(1,)))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def jaccard(a: str, b: str, pack=packed_shingles, plain=shingles) -> float:
+    """pack, plain: makers of b's shingles, which may keep what they made."""
+    x, y = packed_shingles(a), pack(b)
+    if x is None or y is None:
+        x, y = shingles(a), plain(b)
+        both = len(x & y)
+    else:
+        merged = np.sort(np.concatenate([x, y]))
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return both / (len(x) + len(y) - both)
 
 
@@ -107,6 +125,18 @@ def bands(lines: list[str]) -> np.ndarray:
     return h
 
 
+def _portions(lines: list[str], most: int = 250_000):
+    """Runs of lines whose working arrays stay in the processor's cache, as far as a single line lets them."""
+    start = size = 0
+    for k, line in enumerate(lines):
+        size += len(line)
+        if size >= most:
+            yield lines[start : k + 1]
+            start, size = k + 1, 0
+    if start < len(lines):
+        yield lines[start:]
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """rid, doc_id, text: rid tells documents apart."""
     return runtime.id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
@@ -162,10 +192,7 @@ def groups(docs: DataFrame, work: runtime.Workspace) -> DataFrame:
         for held in _distinct(batches, 6_000_000):
             ids = np.fromiter(held, np.int64, len(held))
             values = list(held.values())
-            rows = []
-            for at in range(0, len(values), 4000):
-                rows.append(bands(values[at : at + 4000]))
-            band = np.concatenate(rows).ravel()
+            band = np.concatenate([bands(part) for part in _portions(values)]).ravel()
             line = np.repeat(ids, BANDS)
             order = np.lexsort((line, band))
             band, line = band[order], line[order]
@@ -271,16 +298,10 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> Da
     """pairs (a, b) with the column ok: is their exact similarity at least `similar`?"""
 
     def run(batches):
-        kept = lru_cache(2000)(shingles)  # a leader meets many lines
-
-        def jaccard(a, b):
-            x, y = shingles(a), kept(b)
-            both = len(x & y)
-            return both / (len(x) + len(y) - both)
-
+        kept = [lru_cache(2000)(f) for f in (packed_shingles, shingles)]  # a leader meets many lines
         for batch in batches:
             for part in runtime.small(batch):
-                ok = [jaccard(x, y) >= similar for x, y in zip(part["x"].to_pylist(), part["y"].to_pylist(), strict=True)]
+                ok = [jaccard(x, y, *kept) >= similar for x, y in zip(part["x"].to_pylist(), part["y"].to_pylist(), strict=True)]
                 yield pa.record_batch([part["a"], part["b"], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     a, b = lines.select(F.col("line").alias("a"), F.col("text").alias("x")), lines.select(F.col("line").alias("b"), F.col("text").alias("y"))
@@ -313,7 +334,13 @@ def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -
         rooted = work.put(rooted.join(mixed, "band", "left_semi"), "mixed")
         other = rooted.select(F.col("band").alias("band2"), F.col("line").alias("b"), F.col("root").alias("root2"))
         pairs = rooted.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("line") > F.col("b"))).select(F.col("line").alias("a"), "b").distinct()
-        edges = edges.union(verified(pairs, lines, similar).where("ok").select("a", "b"))
+        late = verified(pairs, lines, similar).where("ok")
+        # Only roots take part in what joins components; the others follow theirs.
+        roots = rooted.select("line", "root").distinct()
+        late = late.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        top = components(late, work).toDF("below", "top")
+        all_nodes = known.select("node", "root").union(top.select("below", "below")).distinct()
+        return all_nodes.join(top, F.col("root") == F.col("below"), "left").select("node", F.coalesce("top", "root").alias("root"))
     return components(edges, work)
 
 
