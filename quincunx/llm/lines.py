@@ -13,8 +13,8 @@ within one task are linked to a representative there, so that a band shared by
 a large part of all lines reaches its bucket once a task, not once a line.
 Within a band's group, lines are compared with the group's smallest; those that
 fail go on as a group of their own, for ROUNDS rounds; what is left then (groups
-of lines unlike each other's leaders that share a band) is compared pair by pair,
-where no other band has joined the two.
+of lines unlike each other's leaders that share a band) is compared where two
+lines have a rare shingle in common, unless other bands have joined them.
 
 Null and empty texts have no lines; blank lines are never removed. Rows equal in
 doc_id and text count as one document and get the same result; null ids come
@@ -62,6 +62,16 @@ def packed_shingles(line: str) -> np.ndarray | None:
     return values[np.concatenate([[True], values[1:] != values[:-1]])]
 
 
+def shingle_id(shingle: str) -> int:
+    """The value that packed_shingles has for it; a hash where it would have none."""
+    try:
+        if len(shingle) == SHINGLE:
+            return int.from_bytes(shingle.encode("latin-1"), "little")
+    except UnicodeEncodeError:
+        pass
+    return xxhash.xxh3_64_intdigest(shingle.encode("utf-32-le", "surrogatepass"))
+
+
 def jaccard(a: str, b: str, pack=packed_shingles, plain=shingles) -> float:
     """pack, plain: makers of b's shingles, which may keep what they made."""
     x, y = packed_shingles(a), pack(b)
@@ -308,6 +318,38 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def sharing_prefixes(rooted: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of the rows (line, root, text) of different roots that can be similar; none that is similar is missing.
+
+    Shingles are put in order, rarest among these lines first. Sets x and y of
+    a similarity of at least t have at least c = t / (1 + t) * (|x| + |y|) in
+    common, so the first common one stands at most |x| - c and |y| - c down.
+    Shingles of one line only come first and are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in runtime.small(batch, 1 << 20):
+                hashes = []
+                for text in part["text"].to_pylist():
+                    packed = packed_shingles(text)
+                    hashes.append(np.fromiter(map(shingle_id, shingles(text)), np.uint64) if packed is None else packed)
+                sizes = [len(h) for h in hashes]
+                columns = [np.repeat(part[c].to_numpy(), sizes) for c in ("line", "root")]
+                yield pa.record_batch([*map(pa.array, columns), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(hashes).view(np.int64))], ["line", "root", "size", "token"])
+
+    tokens = rooted.select("line", "root", "text").mapInArrow(run, "line long, root long, size int, token long")
+    common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    length = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1
+    ranked = tokens.join(common, "token").groupBy("line").agg(F.max("root").alias("root"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
+    ranked = ranked.withColumn("own", F.col("size") - F.size("all")).where(length > F.col("own"))
+    places = ranked.select("line", "root", "size", "own", F.posexplode(F.slice("all", F.lit(1), (length - F.col("own")).cast("int"))).alias("k", "at")).select("line", "root", "size", (F.col("own") + F.col("k")).alias("place"), "at.token")
+    x, y = places.alias("x"), places.alias("y")
+    least = F.ceil(similar / (1 + similar) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.line") > F.col("y.line")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.place") + least <= F.col("x.size")) & (F.col("y.place") + least <= F.col("y.size"))
+    return x.join(y, near).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of every line that has a fuzzy copy."""
     members = groups(docs, work)
@@ -332,8 +374,7 @@ def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -
         rooted = members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
         mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
         rooted = work.put(rooted.join(mixed, "band", "left_semi"), "mixed")
-        other = rooted.select(F.col("band").alias("band2"), F.col("line").alias("b"), F.col("root").alias("root2"))
-        pairs = rooted.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("line") > F.col("b"))).select(F.col("line").alias("a"), "b").distinct()
+        pairs = sharing_prefixes(rooted.select("line", "root").distinct().join(lines, "line"), similar)
         late = verified(pairs, lines, similar).where("ok")
         # Only roots take part in what joins components; the others follow theirs.
         roots = rooted.select("line", "root").distinct()

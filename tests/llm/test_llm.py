@@ -176,3 +176,24 @@ def test_classifiers(spark, docs, empty, operator, column):
     scored = operator.classify(docs, labels).collect()
     assert len(scored) == len(ROWS) and all(0 <= r["score"] <= 1 for r in scored)
     assert operator.classify(empty, labels).count() == 0
+
+
+def test_line_pairs_by_rare_shingles(spark):
+    import random
+
+    rnd = random.Random(5)
+    texts = ["", "ab", "abcdefgh", "abcdefghi", "\u0436" * 9]
+    for base in ("".join(rnd.choices("abcdefgh ", k=150)) for _ in range(4)):
+        for _ in range(25):
+            line = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                line[rnd.randrange(len(line))] = rnd.choice("xyz\u00e9\u0436")
+            texts.append("".join(line))
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(k, k // 2, t) for k, t in enumerate(texts)], "line long, root long, text string")
+    got = {(r["a"], r["b"]) for r in lines.sharing_prefixes(rows, 0.8).collect()}
+    sets = [lines.shingles(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if a // 2 != b // 2 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(want) > 20 and want <= got
+    assert all(lines.jaccard(texts[a], texts[b]) == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(0, len(texts), 3) for b in range(len(texts)))
+    assert lines.sharing_prefixes(rows.limit(0), 0.8).count() == 0
