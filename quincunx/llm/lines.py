@@ -12,9 +12,10 @@ Band hashes travel packed, a bucket of the hash space at a time. Lines that meet
 within one task are linked to a representative there, so that a band shared by
 a large part of all lines reaches its bucket once a task, not once a line.
 Within a band's group, lines are compared with the group's smallest; those that
-fail go on as a group of their own, for ROUNDS rounds; what is left then (groups
-of lines unlike each other's leaders that share a band) is compared where two
-lines have a rare shingle in common, unless other bands have joined them.
+fail meet the group's line with most links next, and each other for the rest of
+ROUNDS rounds. Then all lines of a group with any failure, settled ones too, are
+compared where two of different components have a rare shingle in common, so
+that no two similar lines of a group stay apart.
 
 Null and empty texts have no lines; blank lines are never removed. Rows equal in
 doc_id and text count as one document and get the same result; null ids come
@@ -324,7 +325,7 @@ def sharing_prefixes(rooted: DataFrame, similar: float) -> DataFrame:
     Shingles are put in order, rarest among these lines first. Sets x and y of
     a similarity of at least t have at least c = t / (1 + t) * (|x| + |y|) in
     common, so the first common one stands at most |x| - c and |y| - c down.
-    Shingles of one line only come first and are left out.
+    Shingles of one root only come first and are left out.
     """
 
     def run(batches):
@@ -339,50 +340,62 @@ def sharing_prefixes(rooted: DataFrame, similar: float) -> DataFrame:
                 yield pa.record_batch([*map(pa.array, columns), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(hashes).view(np.int64))], ["line", "root", "size", "token"])
 
     tokens = rooted.select("line", "root", "text").mapInArrow(run, "line long, root long, size int, token long")
-    common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    common = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "n")
     length = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1
     ranked = tokens.join(common, "token").groupBy("line").agg(F.max("root").alias("root"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
     ranked = ranked.withColumn("own", F.col("size") - F.size("all")).where(length > F.col("own"))
     places = ranked.select("line", "root", "size", "own", F.posexplode(F.slice("all", F.lit(1), (length - F.col("own")).cast("int"))).alias("k", "at")).select("line", "root", "size", (F.col("own") + F.col("k")).alias("place"), "at.token")
-    x, y = places.alias("x"), places.alias("y")
+    # Of a token's lines, those of its commonest root meet the others only.
+    main = places.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    places = places.join(main, "token").withColumn("main", F.col("root") == F.col("main"))
+    x, y = places.where("not main").alias("x"), places.alias("y")
     least = F.ceil(similar / (1 + similar) * (F.col("x.size") + F.col("y.size")) - 1e-9)
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.line") > F.col("y.line")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.place") + least <= F.col("x.size")) & (F.col("y.place") + least <= F.col("y.size"))
-    return x.join(y, near).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("y.main") | (F.col("x.line") > F.col("y.line"))) & (F.col("x.root") != F.col("y.root")) & (F.col("x.place") + least <= F.col("x.size")) & (F.col("y.place") + least <= F.col("y.size"))
+    return x.join(y, near).select(F.greatest("x.line", "y.line").alias("a"), F.least("x.line", "y.line").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of every line that has a fuzzy copy."""
-    members = groups(docs, work)
+    members = every = groups(docs, work)
     work.release()
     lines = texts(docs, members.select("line").distinct(), work)
     work.release()
-    edges = None
+    edges = torn = None
     for k in range(ROUNDS):
-        lead = members.groupBy("band").agg(F.min("line").alias("b"))
+        lead = members.groupBy("band").agg(F.min("line").alias("b")) 
+        if k == 1:
+            lead = lead.join(central, "band", "left").select("band", F.coalesce("hub", "b").alias("b"))
         pairs = members.withColumnRenamed("line", "a").join(lead, "band").where("a <> b")
         done = work.put(verified(pairs.select("a", "b").distinct(), lines, similar), f"tested-{k}")
         good = done.where("ok").select("a", "b")
         edges = good if edges is None else edges.union(good)
         failed = pairs.join(done.where("not ok"), ["a", "b"], "left_semi").select("band", F.col("a").alias("line"))
+        if k == 0:
+            # Next they meet the band's line with most links: the first leader may be a variant, and what it is a variant of be settled.
+            torn = work.put(failed.join(lead, "band").select("band", "b").distinct(), "torn")
+            links = good.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+            central = every.join(torn, "band").where("line <> b").join(links, "line").groupBy("band").agg(F.max_by("line", F.struct("n", "line")).alias("hub"))
+            members = work.put(failed, "left-0")
+            continue
         alone = failed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
         members = work.put(failed.join(alone, "band", "left_semi"), f"left-{k}")
         if not members.take(1):
             break
-    else:
-        # Lines that other bands have joined already need no link; groups of one component are done.
-        known = components(edges, work, "so-far")
-        rooted = members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-        rooted = work.put(rooted.join(mixed, "band", "left_semi"), "mixed")
-        pairs = sharing_prefixes(rooted.select("line", "root").distinct().join(lines, "line"), similar)
-        late = verified(pairs, lines, similar).where("ok")
-        # Only roots take part in what joins components; the others follow theirs.
-        roots = rooted.select("line", "root").distinct()
-        late = late.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        top = components(late, work).toDF("below", "top")
-        all_nodes = known.select("node", "root").union(top.select("below", "below")).distinct()
-        return all_nodes.join(top, F.col("root") == F.col("below"), "left").select("node", F.coalesce("top", "root").alias("root"))
-    return components(edges, work)
+    known = components(edges, work, "so-far")
+    if not torn.take(1):
+        return known
+    # Any two lines of a band may be alike where its first leader failed with some, settled ones too; those of one component need no link.
+    members = every.join(torn.select("band"), "band")
+    rooted = members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+    roots = work.put(rooted.join(mixed, "band", "left_semi").select("line", "root").distinct(), "mixed")
+    pairs = sharing_prefixes(roots.join(lines, "line"), similar)
+    late = verified(pairs, lines, similar).where("ok")
+    # Only roots take part in what joins components; the others follow theirs.
+    late = late.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    top = components(late, work).toDF("below", "top")
+    all_nodes = known.select("node", "root").union(top.select("below", "below")).distinct()
+    return all_nodes.join(top, F.col("root") == F.col("below"), "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def removals(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:

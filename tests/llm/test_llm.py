@@ -197,3 +197,19 @@ def test_line_pairs_by_rare_shingles(spark):
     assert len(want) > 20 and want <= got
     assert all(lines.jaccard(texts[a], texts[b]) == len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(0, len(texts), 3) for b in range(len(texts)))
     assert lines.sharing_prefixes(rows.limit(0), 0.8).count() == 0
+
+
+def test_lines_template_with_variants(spark):
+    import random
+
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(12):  # each variant is like its template, but hardly any other variant is
+        words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(18)]
+        texts += [" ".join(words), *(" ".join([*words[:k], "".join(rnd.choices("qrstuvwxyz", k=7)), *words[k + 1 :]]) for k in range(18) for _ in range(3))]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = lines.brute(rows)
+    assert sum(w[1] for w in want.values()) == len(rows) - 12
+    got = {r["doc_id"]: (r["n_gone"], hashlib.sha256((r["text_kept"] or "").encode()).hexdigest()) for r in lines.without(spark.createDataFrame(rows, "doc_id long, text string"), runtime.Workspace(spark)).collect()}
+    assert got == {d: w[1:] for d, w in want.items()}
