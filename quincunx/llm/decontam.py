@@ -1,11 +1,13 @@
 """Benchmark decontamination by a BM25 inverted index of the test items and block-max WAND.
 
-Items are indexed by term; impacts are BM25 weights divided by the item's score
-against itself, so that one threshold holds for all items. A posting list is cut
+Each item is indexed by term twice, as a whole and by its question alone.
+Impacts are BM25 weights divided by the least score of any passage that
+verification would accept (at most THRESHOLD of the entry's score against
+itself), so that 1 is the threshold of all and no leak stays below it. A posting list is cut
 into blocks with their largest impacts. Every passage of every document (PASSAGE
 words or twice the longest item, overlapping by half, so that some passage
-holds any copy whole) is a query, and all items at or above the threshold are
-retrieved. A bound over the rarer terms, taken for all passages of a document at
+holds any copy whole) is a query, and all items with an entry at or above the
+threshold are retrieved. A bound over the rarer terms, taken for all passages of a document at
 once, spares those that cannot reach it; block-max WAND runs on the others.
 
 A retrieved item is verified by its five-word shingles: it has leaked if the
@@ -50,6 +52,26 @@ def grams(found: list[str], n: int = WORDS) -> set[tuple[str, ...]]:
     return {tuple(found[k : k + n]) for k in range(max(1, len(found) - n + 1))}
 
 
+def least_share(found: list[str], weights: dict[str, float], similar: float) -> float:
+    """The least share of the weights of found's terms that is left with `similar` of its shingles; a lower bound.
+
+    Terms are lost with all their shingles. A lost shingle has WORDS terms at
+    most, so the shingles of all lost terms, each counted, are at most WORDS
+    times the lost ones; by that the heaviest for their shingles are taken away.
+    """
+    sets = [set(g) for g in grams(found)]
+    room = max(len(g) for g in sets) * (len(sets) - math.ceil(similar * len(sets) - 1e-9))
+    count = Counter(t for g in sets for t in g)
+    total = left = sum(weights[t] for t in count)
+    for t in sorted(count, key=lambda t: (-weights[t] / count[t], t)):
+        part = min(1.0, room / count[t])
+        left -= part * weights[t]
+        room -= part * count[t]
+        if room <= 0:
+            break
+    return max(left, 0.0) / total
+
+
 def question_answer(text: str) -> tuple[str, str]:
     lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) > 1:
@@ -59,11 +81,11 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Posting lists over items sorted by number, with block maxima."""
+    """Posting lists over entries (items and their questions) sorted by number, with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, similar: float = SIMILAR):
         kept = [(i, t, w) for i, t in sorted(items) if (w := words(t))]
-        self.threshold = threshold
+        self.threshold, self.similar = 1.0, similar
         self.ids = [i for i, _, _ in kept]
         parts = [question_answer(t) for _, t, _ in kept]
         self.grams = [(grams(words(q)), grams(words(a)), grams(w)) for (q, a), (_, _, w) in zip(parts, kept, strict=True)]
@@ -75,23 +97,35 @@ class Index:
             for term, tf in Counter(w).items():
                 held[term].append((k, tf, len(w)))
         raw = {t: [(k, math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) for k, tf, size in p] for t, p in held.items()}
-        own = np.zeros(n)
-        for p in raw.values():
+        self.weights = [{} for _ in kept]
+        for t, p in raw.items():
             for k, x in p:
-                own[k] += x
+                self.weights[k][t] = x
+        self.own = [sum(w.values()) for w in self.weights]
+        self.entries, held = [], defaultdict(list)  # of an entry: its item's number
+        for k, ((q, _), (_, _, w)) in enumerate(zip(parts, kept, strict=True)):
+            asked = words(q)
+            for text in [w, asked] if asked and asked != w else [w]:
+                terms = sorted(set(text))
+                own = sum(self.weights[k][t] for t in terms)
+                least = own * max(1e-6, min(threshold, least_share(text, self.weights[k], similar)))
+                for t in terms:
+                    held[t].append((len(self.entries), self.weights[k][t] / least))
+                self.entries.append(k)
+        n = len(self.entries)
         self.items, self.impacts, self.tops, self.top = {}, {}, {}, {}
-        for t, p in raw.items():
+        for t, p in held.items():
             self.items[t] = [k for k, _ in p]
-            self.impacts[t] = [x / own[k] for k, x in p]
+            self.impacts[t] = [x for _, x in p]
             self.tops[t] = [max(self.impacts[t][a : a + BLOCK]) for a in range(0, len(p), BLOCK)]
             self.top[t] = max(self.tops[t])
         # The commonest terms, as long as they leave every item something to reach the threshold with, are only bounded.
         self.rest = np.zeros(n)
-        essential = set(raw)
-        for t in sorted(raw, key=lambda t: (-len(raw[t]), t)):
+        essential = set(held)
+        for t in sorted(held, key=lambda t: (-len(held[t]), t)):
             after = self.rest.copy()
             after[self.items[t]] += self.impacts[t]
-            if len(raw[t]) <= max(1, n // 100) or after.max() > 0.7 * threshold:
+            if len(held[t]) <= max(1, n // 100) or after.max() > 0.7:
                 break
             self.rest = after
             essential.discard(t)
@@ -117,15 +151,15 @@ class Index:
         here, term = pairs // len(self.essential), pairs % len(self.essential)
         count = self.first[term + 1] - self.first[term]
         spot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[term], count)
-        cell, back = np.unique(np.repeat(here, count) * len(self.ids) + self.flat_items[spot], return_inverse=True)
-        total = np.bincount(back, self.flat_impacts[spot]) + self.rest[cell % len(self.ids)]
-        return np.unique(cell[total >= self.threshold - 1e-9] // len(self.ids)).tolist()
+        cell, back = np.unique(np.repeat(here, count) * len(self.entries) + self.flat_items[spot], return_inverse=True)
+        total = np.bincount(back, self.flat_impacts[spot]) + self.rest[cell % len(self.entries)]
+        return np.unique(cell[total >= self.threshold - 1e-9] // len(self.entries)).tolist()
 
     def retrieve(self, found: list[str]) -> list[tuple[int, float]]:
-        """(item's number, score) of all items at or above the threshold, by block-max WAND over the passage's distinct terms."""
+        """(entry's number, score) of all entries at or above the threshold, by block-max WAND over the passage's distinct terms."""
         least = self.threshold - 1e-9
         lists = [[self.items[t][0], 0, t] for t in sorted(set(found)) if t in self.items]
-        end, out = len(self.ids), []
+        end, out = len(self.entries), []
         while lists:
             lists.sort()
             bound, pivot = 0.0, -1
@@ -164,7 +198,11 @@ class Index:
                     x[0] = p[x[1]] if x[1] < len(p) else end
         return out
 
-    def leaks(self, text: str | None, similar: float = SIMILAR) -> list[tuple]:
+    def score(self, item: int, found: set[str]) -> float:
+        """BM25 of the item over these terms, as a share of its score against itself."""
+        return sum(x for t, x in self.weights[item].items() if t in found) / self.own[item]
+
+    def leaks(self, text: str | None) -> list[tuple]:
         """(item_id, passage's first word, score, overlaps of question, answer, item) of verified items; an item's best passage."""
         found = words(text)
         best: dict[int, tuple] = {}
@@ -172,16 +210,16 @@ class Index:
         for p in self.possible(found):
             part = found[p * half : p * half + self.passage]
             near = None
-            for item, score in self.retrieve(part):
+            for item in sorted({self.entries[e] for e, _ in self.retrieve(part)}):
                 near = near or grams(part)
                 q, a, whole = (len(g & near) / len(g) if g else 0.0 for g in self.grams[item])
-                if max(q, whole) >= similar:
-                    row = (self.ids[item], p * half, score, q, a, whole)
+                if max(q, whole) >= self.similar:
+                    row = (self.ids[item], p * half, self.score(item, set(part)), q, a, whole)
                     best[item] = max(best.get(item, row), row, key=lambda r: (r[5], r[2], -r[1]))
         return [best[k] for k in sorted(best)]
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD):
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, similar: float = SIMILAR):
     """One Index for each shard of the items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -190,7 +228,7 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()
         if rows.nbytes > 4 * SHARD_BYTES:
             raise ValueError("a shard of the index is beyond its bound")
-        yield Index(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), threshold)
+        yield Index(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), threshold, similar)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, similar: float = SIMILAR) -> DataFrame:
@@ -199,13 +237,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     runtime.ship(spark)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     out = None
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark, threshold, similar):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             for batch in batches:
                 for part in runtime.small(batch):
-                    rows = [(d, *x) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for x in shared.value.leaks(t, similar)]
+                    rows = [(d, *x) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for x in shared.value.leaks(t)]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4)
                     yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
@@ -218,13 +256,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     """The rows of docs, all columns, into which no item has leaked."""
     spark = docs.sparkSession
     runtime.ship(spark)
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark, threshold, similar):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             for batch in batches:
                 for part in runtime.small(batch):
-                    yield part.filter(pa.array([not shared.value.leaks(t, similar) for t in part["text"].to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not shared.value.leaks(t) for t in part["text"].to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -213,3 +213,18 @@ def test_lines_template_with_variants(spark):
     assert sum(w[1] for w in want.values()) == len(rows) - 12
     got = {r["doc_id"]: (r["n_gone"], hashlib.sha256((r["text_kept"] or "").encode()).hexdigest()) for r in lines.without(spark.createDataFrame(rows, "doc_id long, text string"), runtime.Workspace(spark)).collect()}
     assert got == {d: w[1:] for d, w in want.items()}
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_decontamination_of_questions_alone(sf):
+    items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
+    index = decontam.Index(items)
+    prose = [w for t in PROSE if len(w := decontam.words(t)) >= 40]
+    for k, (item, text) in enumerate(items):
+        question = decontam.words(decontam.question_answer(text)[0])
+        if len(question) < decontam.WORDS:
+            continue
+        cut = (len(question) - decontam.WORDS + 1) // 5  # as many shingles less as a leak may have
+        for part in (question, question[cut:], question[: len(question) - cut]):
+            other = prose[k % len(prose)]
+            assert item in [r[0] for r in index.leaks(" ".join([*other[:40], *part, *other[:40]]))]
