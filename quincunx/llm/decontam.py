@@ -11,7 +11,9 @@ threshold are retrieved. A bound over the rarer terms, taken for all passages of
 once, spares those that cannot reach it; block-max WAND runs on the others.
 
 A retrieved item is verified by its five-word shingles: it has leaked if the
-passage holds `similar` of its question's shingles, or of the whole item's. The
+passage holds `similar` of its question's shingles, or of the whole item's. What
+has fewer words is one shingle, looked for among runs of as many words; a question
+so short is found anywhere, and has leaked alone only if it is the whole text. The
 answer is the item's last line, or last sentence if there is one line.
 
 The index is broadcast in shards of at most SHARD_BYTES of item text; each shard
@@ -102,10 +104,13 @@ class Index:
             for k, x in p:
                 self.weights[k][t] = x
         self.own = [sum(w.values()) for w in self.weights]
+        self.short = defaultdict(list)  # of a question of fewer words than a shingle: the items' numbers
         self.entries, held = [], defaultdict(list)  # of an entry: its item's number
         for k, ((q, _), (_, _, w)) in enumerate(zip(parts, kept, strict=True)):
             asked = words(q)
-            for text in [w, asked] if asked and asked != w else [w]:
+            if 0 < len(asked) < WORDS:
+                self.short[tuple(asked)].append(k)
+            for text in [w, asked] if len(asked) >= WORDS and asked != w else [w]:
                 terms = sorted(set(text))
                 own = sum(self.weights[k][t] for t in terms)
                 least = own * max(1e-6, min(threshold, least_share(text, self.weights[k], similar)))
@@ -202,18 +207,27 @@ class Index:
         """BM25 of the item over these terms, as a share of its score against itself."""
         return sum(x for t, x in self.weights[item].items() if t in found) / self.own[item]
 
+    def overlap(self, own: set[tuple[str, ...]], part: list[str], near: dict[int, set]) -> float:
+        """The share of the shingles in the passage; near keeps the passage's by their length."""
+        if not own:
+            return 0.0
+        n = len(next(iter(own)))
+        if n not in near:
+            near[n] = grams(part, n)
+        return len(own & near[n]) / len(own)
+
     def leaks(self, text: str | None) -> list[tuple]:
         """(item_id, passage's first word, score, overlaps of question, answer, item) of verified items; an item's best passage."""
         found = words(text)
         best: dict[int, tuple] = {}
         half = self.passage // 2
-        for p in self.possible(found):
+        alone = self.short.get(tuple(found), ()) if len(found) < WORDS else ()
+        for p in [0] if alone else self.possible(found):
             part = found[p * half : p * half + self.passage]
-            near = None
-            for item in sorted({self.entries[e] for e, _ in self.retrieve(part)}):
-                near = near or grams(part)
-                q, a, whole = (len(g & near) / len(g) if g else 0.0 for g in self.grams[item])
-                if max(q, whole) >= self.similar:
+            near: dict[int, set] = {}
+            for item in sorted({self.entries[e] for e, _ in self.retrieve(part)} | {*alone}):
+                q, a, whole = (self.overlap(g, part, near) for g in self.grams[item])
+                if whole >= self.similar or q >= self.similar and (item in alone or len(next(iter(self.grams[item][0]))) == WORDS):
                     row = (self.ids[item], p * half, self.score(item, set(part)), q, a, whole)
                     best[item] = max(best.get(item, row), row, key=lambda r: (r[5], r[2], -r[1]))
         return [best[k] for k in sorted(best)]

@@ -228,3 +228,12 @@ def test_decontamination_of_questions_alone(sf):
         for part in (question, question[cut:], question[: len(question) - cut]):
             other = prose[k % len(prose)]
             assert item in [r[0] for r in index.leaks(" ".join([*other[:40], *part, *other[:40]]))]
+
+
+def test_decontamination_of_short_items():
+    index = decontam.Index([(1, "Zebra quantum lantern."), (2, "Where? The harbour of seven old copper lanterns lies here."), (3, PROSE[9])])
+    other = " ".join(decontam.words(PROSE[0])[:50])
+    assert [(r[0], *r[3:]) for r in index.leaks(f"{other} zebra quantum lantern {other}")] == [(1, 1.0, 0.0, 1.0)]
+    assert index.leaks(f"{other} zebra lantern quantum where {other}") == []  # other order; a short question is no leak in a text
+    assert [r[0] for r in index.leaks("Where?")] == [2]
+    assert [(r[0], r[5]) for r in index.leaks(f"{other} where the harbour of seven old copper lanterns lies here {other}")] == [(2, 1.0)]
