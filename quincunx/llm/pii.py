@@ -122,7 +122,8 @@ _LEFT = re.compile(r"[A-Za-z0-9._%+-]")
 LOCAL_REACH = 256
 _CHAIN = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})+[A-Za-z0-9._%+-]+$", re.I)
 _ODD = re.compile(rf"[^\x00-\xbfÀ-ɏḀ-ỿ‐-‧‰-⁞]|[{_ZERO_WIDTH}․]")
-_HINT = re.compile(rf"[\[({{<][ ]*(?:at|@)[ ]*[\])}}>]|(?<!\w)dot(?!\w)|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,-]+){{2}}", re.I)
+_PAIR = rf"(?<!\w)(?:(?:{_WORD})(?!\w)(?:[ ,-]{{1,2}}|[ ]+(?:{_POINT})[ ]+)(?:{_WORD}|[0-9])|[0-9](?:[ ,-]{{1,2}}|[ ]+(?:{_POINT})[ ]+)(?:{_WORD}))(?!\w)"
+_HINT = re.compile(rf"[\[({{<][ ]*(?:at|@)[ ]*[\])}}>]|(?<!\w)dot(?!\w)|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,-]+){{2}}|{_PAIR}", re.I)
 
 
 class Rewritten:

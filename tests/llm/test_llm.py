@@ -237,3 +237,9 @@ def test_decontamination_of_short_items():
     assert index.leaks(f"{other} zebra lantern quantum where {other}") == []  # other order; a short question is no leak in a text
     assert [r[0] for r in index.leaks("Where?")] == [2]
     assert [(r[0], r[5]) for r in index.leaks(f"{other} where the harbour of seven old copper lanterns lies here {other}")] == [(2, 1.0)]
+
+
+def test_pii_numbers_in_words_and_figures():
+    for span in ("plus 4 nine 1 seven 0 five 5 one", "plus four 9 one 7 two 0 six 5", "plus 4 9, one 7 0 5 5 1"):
+        assert (3, 5, 5 + len(span)) in pii.find(f"call {span} today")[1]
+    assert (1, 3, 37) in pii.find("at one punkt 2 punkt three punkt four now")[1]
