@@ -91,6 +91,10 @@ class Index:
         self.ids = [i for i, _, _ in kept]
         parts = [question_answer(t) for _, t, _ in kept]
         self.grams = [(grams(words(q)), grams(words(a)), grams(w)) for (q, a), (_, _, w) in zip(parts, kept, strict=True)]
+        self.known = defaultdict(set)  # by their length, the shingles of all questions and items
+        for q, _, w in self.grams:
+            for g in q | w:
+                self.known[len(g)].add(g)
         self.passage = max([PASSAGE, *(2 * len(w) for _, _, w in kept)])
         n = len(kept)
         mean = sum(len(w) for _, _, w in kept) / max(n, 1)
@@ -224,7 +228,9 @@ class Index:
         alone = self.short.get(tuple(found), ()) if len(found) < WORDS else ()
         for p in [0] if alone else self.possible(found):
             part = found[p * half : p * half + self.passage]
-            near: dict[int, set] = {}
+            near: dict[int, set] = {n: grams(part, n) for n in self.known}
+            if self.similar > 0 and all(near[n].isdisjoint(own) for n, own in self.known.items()):
+                continue  # no shingle in common with any item
             for item in sorted({self.entries[e] for e, _ in self.retrieve(part)} | {*alone}):
                 q, a, whole = (self.overlap(g, part, near) for g in self.grams[item])
                 if whole >= self.similar or q >= self.similar and (item in alone or len(next(iter(self.grams[item][0]))) == WORDS):
