@@ -4,12 +4,15 @@ Base spans come from the four patterns on the text as it stands. The second
 pass runs transducers (homoglyphs and zero-width characters; spelled digits;
 at/dot disguises) that rewrite the text and remember, for every character of
 the rewritten text, the source characters it stands for. The same detectors run
-on the rewritten text; what they find is mapped back and added where it
-overlaps no base span of its kind. Base spans always stay.
+on the rewritten text; what they find is mapped back and added unless a base span
+of its kind contains it, so that an identifier of which the base patterns see a
+part is there as a whole too. Base spans always stay.
 
 A null text is an empty one; empty texts have no spans; whole texts are read,
 in time linear in their length; repeated rows give repeated results; an empty
-table gives an empty result. Counts n_* are of base spans, n_added of the rest.
+table gives an empty result. Spans of one kind are in order of start, then end.
+Only doc_id and text are read, whatever other columns there are. Counts n_* are
+of base spans, n_added of the rest.
 """
 
 from __future__ import annotations
@@ -112,15 +115,12 @@ _POINT = r"dot|point|punkt|punto"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_WORD}|[0-9])(?!\w)(?:[ ,-]{{1,2}}|[ ]+(?:{_POINT})[ ]+)){{3,}}(?:{_WORD}|[0-9])(?!\w)", re.I)
 _TOKEN = re.compile(rf"plus|{_POINT}|{_WORD}|[0-9]", re.I)
 
-_OPEN, _CLOSE = r"[ ]*[\[({<][ ]*", r"[ ]*[\])}>][ ]*"
-_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|[ ]+at[ ]+", re.I)
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|[ ]+dot[ ]+)"
+# A run of blanks is tried from its begin only, so that long ones cost no more than their length.
+_OPEN, _CLOSE = r"(?<! )[ ]*[\[({<][ ]*", r"[ ]*[\])}>][ ]*"
+_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|(?<! )[ ]+at[ ]+", re.I)
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|(?<! )[ ]+dot[ ]+)"
 _DOTS = re.compile(_DOT, re.I)
 _RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
-_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
-#: How far before a disguised @ a local part with disguised dots may begin: 64 characters and their disguises.
-LOCAL_REACH = 256
-_CHAIN = re.compile(rf"(?:[A-Za-z0-9_%+-]+{_DOT})+[A-Za-z0-9._%+-]+$", re.I)
 _ODD = re.compile(rf"[^\x00-\xbfÀ-ɏḀ-ỿ‐-‧‰-⁞]|[{_ZERO_WIDTH}․]")
 _PAIR = rf"(?<!\w)(?:(?:{_WORD})(?!\w)(?:[ ,-]{{1,2}}|[ ]+(?:{_POINT})[ ]+)(?:{_WORD}|[0-9])|[0-9](?:[ ,-]{{1,2}}|[ ]+(?:{_POINT})[ ]+)(?:{_WORD}))(?!\w)"
 _HINT = re.compile(rf"[\[({{<][ ]*(?:at|@)[ ]*[\])}}>]|(?<!\w)dot(?!\w)|(?:(?<!\w)(?:{_WORD})(?!\w)[ ,-]+){{2}}|{_PAIR}", re.I)
@@ -169,6 +169,19 @@ class Rewritten:
         return first, s + b - self.starts[j] if same else e
 
 
+def _dots_before(text: str, end: int, least: int, dots: dict[int, int]):
+    """Disguised dots (start, end) of the local part that ends at `end`, from there back as far as it goes, but not before `least`."""
+    at = end
+    while True:
+        while at > least and text[at - 1] in _LOCAL:
+            at -= 1
+        start = dots.get(at, -1)
+        if start <= least or text[start - 1] not in _LOCAL or text[start - 1] == ".":
+            return
+        yield start, at
+        at = start
+
+
 def rewrite(text: str) -> Rewritten | None:
     """The text without its disguises; None if it has no sign of any."""
     if not _ODD.search(text) and not _HINT.search(text):
@@ -184,25 +197,24 @@ def rewrite(text: str) -> Rewritten | None:
             edits.append((*m.span(), "".join("+" if p.lower() == "plus" else p if p.isdigit() else str(_NUMBER_WORDS[p.lower()]) if p.lower() in _NUMBER_WORDS else "." for p in parts)))
     if edits:
         r = r.apply(edits)
-    edits, last = [], 0
+    edits, last, dots = [], 0, None
     for m in _AT.finditer(r.text):
-        if m.start() < last or not m.start() or not _LEFT.match(r.text, m.start() - 1):
+        if m.start() < last or not m.start() or r.text[m.start() - 1] not in _LOCAL:
             continue
         right = _RIGHT.match(r.text, m.end())
         plain = not re.search(r"[\[({<]", m[0])
         if not right or plain and not _DOTS.search(right[0]):
             continue
-        before = max(last, m.start() - LOCAL_REACH)
-        left = _CHAIN.search(r.text[before : m.start()])
-        if left:
-            edits += [(d.start() + left.start() + before, d.end() + left.start() + before, ".") for d in _DOTS.finditer(left[0])]
+        if dots is None:
+            dots = {d.end(): d.start() for d in _DOTS.finditer(r.text)}
+        edits += [(*d, ".") for d in _dots_before(r.text, m.start(), last, dots)]
         edits.append((*m.span(), "@"))
         edits += [(d.start() + right.start(), d.end() + right.start(), ".") for d in _DOTS.finditer(right[0])]
         last = right.end()
     at = r.text.find("@")
     while at > 0:  # a plain @ before a domain with disguised dots
         right = _RIGHT.match(r.text, at + 1)
-        if right and _LEFT.match(r.text, at - 1) and _DOTS.search(right[0]):
+        if right and r.text[at - 1] in _LOCAL and _DOTS.search(right[0]):
             edits += [(d.start() + right.start(), d.end() + right.start(), ".") for d in _DOTS.finditer(right[0])]
         at = r.text.find("@", at + 1)
     if edits:
@@ -226,8 +238,8 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     for kind, a, b in detect(found.text):
         start, end = found.source(a, b)
         near = taken[kind]
-        k = bisect_right(near, (kind, start, len(text)))
-        if (k == 0 or near[k - 1][2] <= start) and (k == len(near) or near[k][1] >= end):
+        k = bisect_right(near, (kind, start, len(text)))  # base spans of a kind are apart: only the last that begins by then can contain it
+        if k == 0 or near[k - 1][2] < end:
             more.append((kind, start, end))
     return base, sorted(base + more)
 
