@@ -14,12 +14,20 @@ A retrieved item is verified by its five-word shingles: it has leaked if the
 passage holds `similar` of its question's shingles, or of the whole item's. What
 has fewer words is one shingle, looked for among runs of as many words; a question
 so short is found anywhere, and has leaked alone only if it is the whole text. The
-answer is the item's last line, or last sentence if there is one line.
-
-The index is broadcast in shards of at most SHARD_BYTES of item text; each shard
-takes one pass over the documents. Null and empty texts and items have no
-passages and match nothing; repeated documents give repeated rows; repeated
-item ids count as their smallest text; empty tables give an empty result.
+answer is the item's last line, or last sentence if there is one line; its own
+overlap says what has leaked: `both`, the question alone (`question`), or enough
+of the item without either (`item`).
+
+The index is broadcast in shards of at most SHARD_BYTES of item text, or one
+longer item; each shard takes one pass over the documents. Document frequencies,
+mean length and the longest item are those of all items, whatever the shards, so
+that neither scores nor passages depend on how the items are dealt.
+
+Null and empty texts and items have no passages and match nothing; texts of any
+length are read whole; repeated documents give repeated rows; repeated item ids
+count as their smallest text; of an item's equally good passages the first is
+shown; empty tables give an empty result. Only doc_id, text and item_id, text
+are read; clean() carries all other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +50,7 @@ PASSAGE, WORDS, SIMILAR, THRESHOLD = 128, 5, 0.8, 0.5
 BLOCK, SHARD_BYTES = 16, 8 << 20
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
-SCHEMA = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double, item_overlap double"
+SCHEMA = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double, item_overlap double, leak string"
 
 
 def words(text: str | None) -> list[str]:
@@ -82,11 +91,29 @@ def question_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many, their mean and greatest length in words, and in how many each term is (of the terms that are asked for)."""
+
+    n: int
+    mean: float
+    longest: int
+    frequency: dict[str, int]
+
+    @staticmethod
+    def of(items: list[list[str]]) -> Statistics:
+        return Statistics(len(items), sum(map(len, items)) / max(len(items), 1), max(map(len, items), default=0), Counter(t for w in items for t in set(w)))
+
+
 class Index:
-    """Posting lists over entries (items and their questions) sorted by number, with block maxima."""
+    """Posting lists over entries (items and their questions) sorted by number, with block maxima.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, similar: float = SIMILAR):
+    known: statistics of all items, where these are only a shard of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, similar: float = SIMILAR, known: Statistics | None = None):
         kept = [(i, t, w) for i, t in sorted(items) if (w := words(t))]
+        known = known or Statistics.of([w for _, _, w in kept])
         self.threshold, self.similar = 1.0, similar
         self.ids = [i for i, _, _ in kept]
         parts = [question_answer(t) for _, t, _ in kept]
@@ -95,14 +122,14 @@ class Index:
         for q, _, w in self.grams:
             for g in q | w:
                 self.known[len(g)].add(g)
-        self.passage = max([PASSAGE, *(2 * len(w) for _, _, w in kept)])
-        n = len(kept)
-        mean = sum(len(w) for _, _, w in kept) / max(n, 1)
+        self.passage = max(PASSAGE, 2 * known.longest)
+        n, mean = known.n, known.mean
         held = defaultdict(list)
         for k, (_, _, w) in enumerate(kept):
             for term, tf in Counter(w).items():
                 held[term].append((k, tf, len(w)))
-        raw = {t: [(k, math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) for k, tf, size in p] for t, p in held.items()}
+        rarity = {t: math.log(1 + (n - known.frequency[t] + 0.5) / (known.frequency[t] + 0.5)) for t in held}
+        raw = {t: [(k, rarity[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) for k, tf, size in p] for t, p in held.items()}
         self.weights = [{} for _ in kept]
         for t, p in raw.items():
             for k, x in p:
@@ -221,7 +248,7 @@ class Index:
         return len(own & near[n]) / len(own)
 
     def leaks(self, text: str | None) -> list[tuple]:
-        """(item_id, passage's first word, score, overlaps of question, answer, item) of verified items; an item's best passage."""
+        """(item_id, passage's first word, score, overlaps of question, answer, item, what leaked) of verified items; an item's best passage."""
         found = words(text)
         best: dict[int, tuple] = {}
         half = self.passage // 2
@@ -233,22 +260,49 @@ class Index:
                 continue  # no shingle in common with any item
             for item in sorted({self.entries[e] for e, _ in self.retrieve(part)} | {*alone}):
                 q, a, whole = (self.overlap(g, part, near) for g in self.grams[item])
-                if whole >= self.similar or q >= self.similar and (item in alone or len(next(iter(self.grams[item][0]))) == WORDS):
-                    row = (self.ids[item], p * half, self.score(item, set(part)), q, a, whole)
+                asked = q >= self.similar and (item in alone or len(next(iter(self.grams[item][0]), ())) == WORDS)
+                if asked or whole >= self.similar:
+                    leak = "item" if q < self.similar else "both" if a >= self.similar else "question"
+                    row = (self.ids[item], p * half, self.score(item, set(part)), q, a, whole, leak)
                     best[item] = max(best.get(item, row), row, key=lambda r: (r[5], r[2], -r[1]))
         return [best[k] for k in sorted(best)]
 
 
+def shards(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """item_id, text, shard of the items that have an id and a text, and the number of shards; a long item has one to itself."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = known.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    size, most = F.octet_length("text"), SHARD_BYTES // 2
+    total = items.where(size <= most).agg(F.sum(size)).first()[0] or 0
+    n = -(-total // most) or 1
+    long = [r["item_id"] for r in items.where(size > most).select("item_id").orderBy("item_id").collect()]  # each is a pass over the documents
+    own = F.lit(None).cast("int")
+    for k, item in enumerate(long):
+        own = F.when(F.col("item_id") == item, n + k).otherwise(own)
+    return items.withColumn("shard", F.coalesce(own, F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))), n + len(long)
+
+
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, similar: float = SIMILAR):
-    """One Index for each shard of the items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // (SHARD_BYTES // 2)) or 1
+    """One Index for each shard of the items, with the statistics of all."""
+    items, n = shards(benchmark)
+
+    def count(batches):
+        for batch in batches:
+            for part in runtime.small(batch):
+                found = [words(t) for t in part["text"].to_pylist()]
+                terms = [sorted(set(w)) for w in found]
+                rows = [(s, t, None) for s, ts in zip(part["shard"].to_pylist(), terms, strict=True) for t in ts]
+                rows += [(None, None, len(w)) for w in found if w]
+                yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))], ["shard", "term", "size"])
+
+    counted = items.mapInArrow(count, "shard int, term string, size long")
+    total, mean, longest = counted.agg(F.count("size"), F.avg("size"), F.max("size")).first()
+    terms = counted.where("term is not null").groupBy("term").agg(F.count("*").alias("n"), F.collect_set("shard").alias("shards"))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()
-        if rows.nbytes > 4 * SHARD_BYTES:
-            raise ValueError("a shard of the index is beyond its bound")
-        yield Index(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), threshold, similar)
+        rows = items.where(F.col("shard") == k).select("item_id", "text").toArrow()
+        seen = terms.where(F.array_contains("shards", k)).select("term", "n").toArrow()  # the terms of one shard's items
+        known = Statistics(total, mean or 0.0, longest or 0, dict(zip(seen["term"].to_pylist(), seen["n"].to_pylist(), strict=True)))
+        yield Index(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), threshold, similar, known)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, similar: float = SIMILAR) -> DataFrame:
@@ -264,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for batch in batches:
                 for part in runtime.small(batch):
                     rows = [(d, *x) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for x in shared.value.leaks(t)]
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.string())
                     yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
         found = runtime.id_and_text(docs).mapInArrow(run, SCHEMA)
