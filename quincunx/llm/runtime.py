@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,24 +29,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared folder; a local one only where none is configured."""
+    """A new folder name under the cluster's shared folder; a local one only in local mode where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quincunx-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quincunx-{uuid.uuid4().hex}"
 
 
 class Workspace:
-    """Written tables of one operator call.
+    """Written tables of one operator call, or those under a folder that is given and stays.
 
     Each put() cuts lineage: a lost executor costs a re-read, not a
     recomputation. drop() removes tables that later steps no longer need.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, top: str | None = None):
         ship(spark)
-        self.spark, self.top = spark, shared_dir(spark)
+        self.spark, self.top = spark, top.rstrip("/") if top else shared_dir(spark)
 
     def put(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         at = f"{self.top}/{name}"
@@ -80,6 +83,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def small(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about most_bytes each, so that working arrays stay bounded whatever the texts' lengths."""
     n = batch.num_rows

@@ -16,10 +16,15 @@ What one segment, or one bucket of one run, sends about a fingerprint or digest
 is a single entry, however many of its documents share it, so that passages in a
 large part of all documents do not gather in one task.
 
+History is an index that outlives a call: a folder with the segments' texts, the
+runs, the digests met so far, and a manifest that names what holds. Each add()
+looks at a new batch of documents against all of history and commits it.
+
 Null texts have no words. Documents without an id can neither lose words nor
 take them from others. Rows that share an id lose only what also starts under a
-smaller one. Texts under WINDOW words lose nothing; an empty table gives an
-empty result.
+smaller one. Texts under WINDOW words lose nothing; texts of any length are read
+whole, and one above SEGMENT bytes is a segment by itself. An empty table gives
+an empty result. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from pyspark.sql import functions as F
 from . import runtime
 
 WINDOW, GRAM, SEGMENT, BATCHES, RUNS = 13, 5, 4 << 20, 4, 2
+#: Numbers of segments that a generation has.
+GENERATION = 10**12
 #: In a run, the segment of a fingerprint that several segments have.
 MANY = -1
 
@@ -114,10 +121,9 @@ class Index:
 
     SCHEMA = "bucket int, run int, segment long, hashes binary, segments binary"
 
-    def __init__(self, work: runtime.Workspace, n_buckets: int, most_runs: int = RUNS):
+    def __init__(self, work: runtime.Workspace, n_buckets: int, most_runs: int = RUNS, runs: list[str] | None = None, made: int = 0):
         self.work, self.n_buckets, self.most_runs = work, n_buckets, most_runs
-        self.runs: list[str] = []
-        self.made = 0
+        self.runs, self.made = list(runs or []), made
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merges a batch (bucket, segment, hashes) into the index: segment and hashes that it has in common with others, told once each."""
@@ -178,8 +184,11 @@ class Index:
         return done.where("run = -1").select("segment", "hashes")
 
 
-def segments(docs: DataFrame, work: runtime.Workspace, n_buckets: int, batches: int = BATCHES) -> DataFrame:
-    """Writes the segments: rows of texts (is_text), and rows of fingerprints by bucket."""
+SEGMENTS = "is_text boolean, batch int, segment long, bucket int, body binary, sizes binary, ids array<long>"
+
+
+def segments(docs: DataFrame, work: runtime.Workspace, n_buckets: int, batches: int = BATCHES, generation: int = 0) -> DataFrame:
+    """Writes the segments: rows of texts (is_text), and rows of fingerprints by bucket. Those of a later generation have larger numbers."""
     n_parts = max(1, docs.rdd.getNumPartitions())
 
     def run(rows):
@@ -193,7 +202,7 @@ def segments(docs: DataFrame, work: runtime.Workspace, n_buckets: int, batches:
 
         def close():
             nonlocal made
-            segment = part * 1_000_000 + made
+            segment = generation * GENERATION + part * 1_000_000 + made
             made += 1
             known = [t if d is not None else b"" for d, t in zip(ids, texts, strict=True)]
             h = np.unique(Segment(known).fingerprints()[1])
@@ -227,8 +236,7 @@ def segments(docs: DataFrame, work: runtime.Workspace, n_buckets: int, batches:
         if ids:
             yield close()
 
-    schema = "is_text boolean, batch int, segment long, bucket int, body binary, sizes binary, ids array<long>"
-    return work.put(runtime.id_and_text(docs).mapInArrow(run, schema), "segments", ("is_text", "batch"))
+    return work.put(runtime.id_and_text(docs).mapInArrow(run, SEGMENTS), f"segments-{generation}", ("is_text", "batch"))
 
 
 def _read(body: bytes, sizes: bytes) -> list[bytes]:
@@ -276,20 +284,36 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with_text adds kept: the kept words joined by blanks."""
     n_buckets = 8 * max(1, docs.rdd.getNumPartitions())
-    stored = segments(docs, work, n_buckets, batches)
-    texts = stored.where("is_text").select("segment", "body", "sizes", "ids")
     index = Index(work, n_buckets)
+    stored = segments(docs, work, n_buckets, batches)
+    told = _told(stored, index, work, batches)
+    work.drop("segments-0/is_text=false", *[f"run-{k}" for k in range(index.made)])
+    work.release()
+    return _decided(stored.where("is_text"), told, work, n_buckets, with_text)
+
+
+def _told(stored: DataFrame, index: Index, work: runtime.Workspace, batches: int, generation: int = 0) -> DataFrame:
+    """Takes the stored batches into the index, one after the other: what segments are told (segment, hashes)."""
     told = None
     for k in range(batches):
         new = index.add(stored.where(~F.col("is_text") & (F.col("batch") == k)).select("bucket", "segment", F.col("body").alias("hashes")))
         told = new if told is None else told.union(new)
-    told = work.put(told, "told")
-    work.drop("segments/is_text=false", *[f"run-{k}" for k in range(index.made)])
-    work.release()
+    return work.put(told, f"told-{generation}")
+
+
+def _decided(texts: DataFrame, told: DataFrame, work: runtime.Workspace, n_buckets: int, with_text: bool, generation: int = 0, before: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """The result for a generation's segments. before: older segments of which some are told; seen: the digests that earlier generations met.
 
-    def beside(rows: DataFrame) -> DataFrame:
-        """Segments with what is told to them right before them."""
-        asked = rows.select("segment", F.lit(0).alias("kind"), F.col("hashes").alias("body"), F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("array<long>").alias("ids"))
+    With seen, what is met now is written for the next generation.
+    """
+    least_segment = generation * GENERATION
+    texts = texts.select("segment", "body", "sizes", "ids")
+    looked = texts if before is None else texts.union(before.where("is_text").select("segment", "body", "sizes", "ids").join(told.select("segment").distinct(), "segment", "left_semi"))
+
+    def beside(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """Segments with what is told to them right before them: rows of segment, kind (below 1), hashes."""
+        none = [F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("array<long>").alias("ids")]
+        asked = rows.select("segment", "kind", F.col("hashes").alias("body"), *none)
         every = asked.union(texts.select("segment", F.lit(1).alias("kind"), "body", "sizes", "ids"))
         return every.repartition("segment").sortWithinPartitions("segment", "kind")
 
@@ -315,7 +339,7 @@ def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES
             x, d, s = x[order], d[order], s[order]
             begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             least = np.repeat(d[begins], np.diff(np.append(begins, len(x))))
-            later = d > least
+            later = (d > least) & (s >= least_segment)
             x, s = x[later], s[later]
             order = np.argsort(s, kind="stable")
             x, s = x[order], s[order]
@@ -323,9 +347,12 @@ def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES
             parts = np.split(x, begins[1:]) if len(x) else []
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["segment", "hashes"])
 
-    met = beside(told).mapInArrow(windows, "bucket int, segment long, digests binary, lowest binary")
+    asked = told.select("segment", F.lit(0).alias("kind"), "hashes")
+    met = beside(asked, looked).mapInArrow(windows, "bucket int, segment long, digests binary, lowest binary")
+    if seen is not None:
+        met = work.put(met, f"met-{generation}").union(seen.select("bucket", F.lit(MANY).cast("long").alias("segment"), "digests", "lowest"))
     earlier = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, "segment long, hashes binary")
-    earlier = work.put(earlier, "earlier")
+    earlier = work.put(earlier, f"earlier-{generation}")
     work.release()
 
     def finish(rows):
@@ -339,7 +366,7 @@ def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES
             own = np.array([i if i is not None else 0 for i in ids], np.int64)[doc]
             digests = part.digests(starts)
             x, d = _lowest(digests, own)
-            least = np.where(np.isin(_plain(x), _plain(gone)), np.iinfo(np.int64).min, d)
+            least = np.where(_among(x, gone), np.iinfo(np.int64).min, d)
             order = np.lexsort((digests["low"], digests["high"]))
             number = np.zeros(len(digests), np.int64)
             if len(digests):
@@ -362,16 +389,100 @@ def deduplicate(docs: DataFrame, work: runtime.Workspace, batches: int = BATCHES
                 out.append(pa.array([k.decode("utf-8", "replace") for k in kept]))
             yield pa.record_batch(out, ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
-    none = [F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("array<long>").alias("ids")]
-    first = earlier.select("segment", F.lit(-1).alias("kind"), F.col("hashes").alias("body"), *none)
-    again = told.select("segment", F.lit(0).alias("kind"), F.col("hashes").alias("body"), *none)
-    rows = first.union(again).union(texts.select("segment", F.lit(1).alias("kind"), "body", "sizes", "ids"))
-    return rows.repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(finish, SCHEMA + ", kept string" * with_text)
-
-
-def _plain(digests: np.ndarray) -> np.ndarray:
-    """Digests as numbers of 64 bits that sort and compare; the other bits stand in by a mix."""
-    return digests["high"] ^ (digests["low"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    first = earlier.select("segment", F.lit(-1).alias("kind"), "hashes")
+    again = asked.where(F.col("segment") >= least_segment)
+    return beside(first.union(again), texts).mapInArrow(finish, SCHEMA + ", kept string" * with_text)
+
+
+def _among(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of these distinct digests are among others, too; whole digests are compared."""
+    both = np.concatenate([x, others])
+    order = np.lexsort((both["low"], both["high"]))
+    same = both[order[1:]] == both[order[:-1]]
+    hit = np.zeros(len(both), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return hit[: len(x)]
+
+
+class History:
+    """An index in a folder that later calls, and later sessions, open again.
+
+    path: a folder that all executors share. The manifest's last version names
+    the tables that hold; a call that fails before it commits leaves history as
+    it was, and what it wrote is written over by the next. One writer at a time.
+    """
+
+    SEEN = "bucket int, digests binary, lowest binary"
+    MANIFEST = "n_buckets int, made int, runs array<string>, seen array<string>, texts array<string>, generation int"
+
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64):
+        from pyspark.errors import AnalysisException
+
+        self.spark, self.work = spark, runtime.Workspace(spark, path)
+        self.n_buckets, self.made, self.runs, self.seen, self.texts, self.generation = n_buckets, 0, [], [], [], 0
+        try:
+            last = spark.read.schema(f"{self.MANIFEST}, version int").parquet(f"{self.work.top}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        if last:
+            self.n_buckets, self.made, self.generation = last["n_buckets"], last["made"], last["generation"]
+            self.runs, self.seen, self.texts = list(last["runs"]), list(last["seen"]), list(last["texts"])
+
+    def _commit(self) -> None:
+        row = [(self.n_buckets, self.made, self.runs, self.seen, self.texts, self.generation)]
+        self.work.put(self.spark.createDataFrame(row, self.MANIFEST).coalesce(1), f"manifest/version={self.generation}")
+
+    def _tables(self, names: list[str], schema: str | None = None) -> DataFrame | None:
+        out = None
+        for name in names:
+            table = self.work.get(name, schema)
+            out = table if out is None else out.unionByName(table)
+        return out
+
+    def add(self, docs: DataFrame, batches: int = 1, with_text: bool = False) -> DataFrame:
+        """What deduplicate() gives for docs, with all documents added before taken into account, which themselves stay as they were.
+
+        With ids above all earlier ones, calls over parts equal one call over
+        all. The result can be read until the next add() or compact().
+        """
+        g, work = self.generation, self.work
+        index = Index(work, self.n_buckets, runs=self.runs, made=self.made)
+        stored = segments(docs, work, self.n_buckets, batches, g)
+        told = _told(stored, index, work, batches, g)
+        seen = self._tables(self.seen, self.SEEN)
+        if seen is None:
+            seen = self.spark.createDataFrame([], self.SEEN)
+        out = _decided(stored.where("is_text"), told, work, self.n_buckets, with_text, g, self._tables(self.texts, SEGMENTS), seen)
+        old = [*set(self.runs).difference(index.runs), *(f"{x}-{g - 1}" for x in ("told", "earlier"))]
+        unlisted = [f"run-{k}" for k in range(self.made, index.made) if f"run-{k}" not in index.runs]
+        self.made, self.runs, self.generation = index.made, index.runs, g + 1
+        self.seen, self.texts = [*self.seen, f"met-{g}"], [*self.texts, f"segments-{g}"]
+        self._commit()
+        work.drop(f"segments-{g}/is_text=false", *old, *unlisted)
+        return out
+
+    def compact(self) -> None:
+        """One run instead of several, and of each digest met its smallest doc_id once."""
+        if not self.generation:
+            return
+        g, work = self.generation, self.work
+        index = Index(work, self.n_buckets, 0, self.runs, self.made)
+        index.add(self.spark.createDataFrame([], "bucket int, segment long, hashes binary"))
+
+        def merge(rows):
+            for bucket, (digests, lowest) in runtime.by_key(rows, "bucket", ["digests", "lowest"]):
+                x, d = _lowest(np.frombuffer(b"".join(digests), DIGEST), np.concatenate([unpack(b, "<i8") for b in lowest]))
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([x.tobytes()]), pa.array([pack(d)])], ["bucket", "digests", "lowest"])
+
+        every = self._tables(self.seen, self.SEEN)
+        work.put(every.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, digests binary, lowest binary"), f"seen-{g}")
+        old = [*self.runs, *self.seen, *(f"{x}-{g - 1}" for x in ("told", "earlier"))]
+        self.made, self.runs, self.seen, self.generation = index.made, index.runs, [f"seen-{g}"], g + 1
+        self._commit()
+        work.drop(*set(old).difference(self.runs, self.seen))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
