@@ -9,11 +9,14 @@ File format, under one folder: `dealt/is_chunk=true` (name: key, body: zstd of
 little-endian unsigned 16- or 32-bit ids; sorted by key within a file), `recipes` (rid,
 part, doc_id, n_tokens, root, keys; ascending doc_id, null ids first, ties by
 root) and `manifest`, which holds one Merkle root per part of recipes over its rows.
-read() checks every chunk against its key, every recipe against its root, and
-the parts against the manifest, and fails on a difference.
-
-A null text is an empty one, whose only id is the end id; repeated rows have
-recipes of their own and share chunks; an empty table gives an empty store.
+streams() and checksums() check every chunk against its key and every recipe
+against its root, positions() the parts against the manifest, and read() the
+recipes' numbers of ids against the ids read; all fail on a difference.
+
+A null text is an empty one, whose only id is the end id; texts of any length
+are encoded whole; repeated rows have recipes of their own and share chunks; an
+empty table gives an empty store. Only doc_id and text are read, whatever other
+columns there are.
 """
 
 from __future__ import annotations
@@ -375,10 +378,17 @@ def checksums(store: Store) -> DataFrame:
     return _rebuilt(store, take, [("read_tokens", pa.int64(), "long"), ("ids_crc32", pa.int64(), "long")])
 
 
+def read(store: Store, work: runtime.Workspace) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from ids that were read and counted."""
+    found = work.put(checksums(store), "checksums")
+    work.release()
+    both = positions(store).join(found, "root", "left")
+    n = F.when(F.col("read_tokens") == F.col("n_tokens"), F.col("read_tokens")).otherwise(F.raise_error(F.lit("a recipe's number of ids is not that of the ids read")).cast("long"))
+    return both.select("doc_id", "start", n.alias("n_tokens"), "ids_crc32")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = runtime.Workspace(spark)
     store = write(runtime.table(spark, sf_dir, "documents"), work)
     work.release()
-    found = work.put(checksums(store), "checksums")
-    work.release()
-    return positions(store).join(found, "root", "left").select("doc_id", "start", F.col("read_tokens").alias("n_tokens"), "ids_crc32")
+    return read(store, work)
