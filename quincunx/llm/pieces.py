@@ -6,14 +6,18 @@ unigram models, merges ranked by piece score for BPE models, with byte fallback.
 
 A text is split where no piece can reach across (before a marker that follows
 another character, and before a closing sign that follows a letter; both are
-checked against the vocabulary), each distinct unit is
-encoded once by a multithreaded batch and kept in a bounded cache, and each new
-unit's ids are compared with the sentencepiece library's and decoded again. A
-unit on which the two differ takes the library's ids and is counted.
-
-Null and empty texts have no ids; repeated rows give repeated results; an empty
-table gives an empty result. The marker U+2581 itself decodes as a blank, which
-is the only change that a round trip may make; exact says whether there is none.
+checked against the vocabulary), each distinct part is encoded once by a
+multithreaded batch and kept in a bounded cache. Each new unit (a word with its
+marker, put together from its parts) is compared with the sentencepiece
+library's ids; where they differ it takes the library's and is counted. Models
+whose pieces reach across markers have whole texts encoded, and compared.
+
+Null and empty texts have no ids; texts of any length are encoded whole;
+repeated rows give repeated results; where two segmentations have one score, the
+library's choice stands; an empty table gives an empty result. Only doc_id and
+text are read, whatever other columns there are. The marker U+2581 itself
+decodes as a blank, which is the only change that a round trip may make; exact
+says whether there is none.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from . import runtime
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: The most units that a worker remembers.
+#: The most units, and the most parts of units, that a worker remembers.
 CACHE_UNITS = 300_000
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 
@@ -122,9 +126,9 @@ def read_model(raw: bytes) -> Model:
     return m
 
 
-def backend(m: Model):
-    """A Tokenizer for units that already carry their markers."""
-    from tokenizers import Tokenizer, decoders, models
+def backend(m: Model, whole: bool = True):
+    """The model as a Tokenizer, of whole texts with normaliser and marker, or of units that already carry theirs."""
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind == UNIGRAM:
         t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, byte_fallback=m.byte_fallback))
@@ -136,6 +140,15 @@ def backend(m: Model):
         t = Tokenizer(models.BPE(vocab, merges, unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback))
     else:
         raise ValueError(f"model kind {m.kind} is not supported")
+    if whole:
+        steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+        if m.remove_extra_whitespaces:
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+        if m.add_dummy_prefix:
+            steps.append(normalizers.Prepend(" "))
+        if m.escape_whitespaces:
+            steps.append(normalizers.Replace(" ", MARK))
+        t.normalizer = normalizers.Sequence(steps)
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     return t
 
@@ -148,8 +161,8 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         with open(path, "rb") as f:
             self.model = read_model(f.read())
-        self.tokenizer = backend(self.model)
         self.split = not any(MARK in p.lstrip(MARK) for p, _, _ in self.model.pieces)
+        self.tokenizer = backend(self.model, whole=not self.split)
         self.library = None
         if check:
             import sentencepiece
@@ -183,22 +196,30 @@ class Codec:
 
     def units(self, text: str) -> list[str]:
         text = self.normalise(text)
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.split else [text] if text else []
+        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
 
-    def _learn(self, units: set[str]) -> None:
-        """Ids of units not seen before, by one batch."""
-        new = [u for u in units if u not in self.cache]
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of parts not seen before, by one batch."""
+        new = [u for u in parts if u not in self.cache]
         if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache = {u: self.cache[u] for u in units if u in self.cache}
+            self.cache = {u: self.cache[u] for u in parts if u in self.cache}
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        expected = self.library.encode([u[1:] for u in new], num_threads=1) if self.library and new else None
-        for k, (unit, e) in enumerate(zip(new, found, strict=True)):
-            ids = e.ids
-            # The library puts a marker in front itself; a unit without one, or of nothing else, cannot be asked for.
-            if expected is not None and self.model.add_dummy_prefix and unit[0] == MARK != unit and expected[k] != ids:
-                ids = expected[k]
-                self.odd.add(unit)
-            self.cache[unit] = array(self.kind.char, ids).tobytes()
+        self.cache.update((unit, array(self.kind.char, e.ids).tobytes()) for unit, e in zip(new, found, strict=True))
+
+    def _checked(self, asked: list[str], ids: list[bytes], names: list[str]) -> list[bytes]:
+        """ids, or the library's for the texts asked for; names: what differs is known by."""
+        if not self.library or not asked:
+            return ids
+        expected = [array(self.kind.char, x).tobytes() for x in self.library.encode(asked, num_threads=1)]
+        if expected != ids:
+            self.odd.update(n for n, a, b in zip(names, ids, expected, strict=True) if a != b)
+        return expected
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        found = [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.odd.clear()
+        ids = self._checked(texts, found, texts)
+        return [(np.frombuffer(x, self.kind), int(t in self.odd)) for t, x in zip(texts, ids, strict=True)]
 
     def _parts(self, unit: str) -> tuple[str, ...]:
         found = self.stem.fullmatch(unit) if self.stem else None
@@ -206,8 +227,10 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """(ids, units that took the library's answer) of each text."""
+        if not self.split:
+            return self._whole(texts)
         # Words between single blanks are kept by themselves; anything else is cut into units with their markers.
-        quick = self.split and self.model.add_dummy_prefix and self.model.escape_whitespaces and not self.charsmap
+        quick = self.model.add_dummy_prefix and self.model.escape_whitespaces and not self.charsmap
         odd = re.compile(f"  |^ | $|{MARK}")
         easy = [bool(quick and t and not odd.search(t)) for t in texts]
         split = [t.split(" ") if e else self.units(t) for t, e in zip(texts, easy, strict=True)]
@@ -218,13 +241,17 @@ class Codec:
         parts = {w: self._parts(MARK + w) for w in new}
         other = {u: self._parts(u) for s, e in zip(split, easy, strict=True) if not e for u in s}
         self._learn({x for ps in (*parts.values(), *other.values()) for x in ps})
-        get = self.cache.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in parts.items())
-        other = {u: b"".join(map(get, ps)) for u, ps in other.items()}
+        join = lambda ps: b"".join(map(self.cache.__getitem__, ps))
+        words = list(parts)
+        self.words.update(zip(words, self._checked(words, [join(parts[w]) for w in words], [MARK + w for w in words]), strict=True))
+        other = {u: join(ps) for u, ps in other.items()}
+        # The library puts a marker in front itself; a unit without one, or of nothing else, cannot be asked for.
+        asked = [u for u in other if self.model.add_dummy_prefix and u[0] == MARK != u]
+        other.update(zip(asked, self._checked([u[1:] for u in asked], [other[u] for u in asked], asked), strict=True))
         out = []
         for units, e in zip(split, easy, strict=True):
             ids = np.frombuffer(b"".join(map((self.words if e else other).__getitem__, units)), self.kind)
-            out.append((ids, sum(x in self.odd for u in units for x in self._parts(MARK + u if e else u)) if self.odd else 0))
+            out.append((ids, sum((MARK + u if e else u) in self.odd for u in units) if self.odd else 0))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
