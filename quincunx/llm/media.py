@@ -1,11 +1,15 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 payload_images() turns texts into images losslessly (64 RGB pixels a row, 8-bit
-samples, Netpbm P6), stores them in a written table, reads that table back and
-computes features from the decoded arrays. A null text is an empty one, which is
-one row of blanks; equal texts give equal values; repeated rows give repeated
-results; an empty table gives an empty result. Bytes that are no image raise
-ValueError in decode(); features() gives them nulls and the error's text.
+samples, Netpbm P6) and stores them in a written table; digests() reads that
+table back, writes NPY tiles with difference hashes of the decoded arrays, and
+reads those. A null text is an empty one, which is one row of blanks; texts of
+any length are one image; equal texts give equal values; repeated rows give
+repeated results; neighbouring cells that are equal give a zero bit; an empty
+table gives an empty result. Bytes that are no image, have no pixels or lack
+samples raise ValueError in decode(); features() gives them nulls and the
+error's text, carries all other columns along and replaces those that have the
+names of its own. Other operators read only doc_id and text.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import runtime
 
@@ -39,6 +44,10 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if not m:
         raise ValueError("no Netpbm header")
     kind, width, height = (int(x) for x in m.groups()[:3])
+    if not width or not height:
+        raise ValueError("no pixels")
+    if (width * height + 7) // 8 > len(raw):
+        raise ValueError("samples are missing")
     if kind in (1, 4):
         if kind == 4:
             stride = (width + 7) // 8
@@ -52,12 +61,16 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         raise ValueError("no maximum sample value")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
+    if n * (1 + (top > 255)) > len(raw) - m.end():
+        raise ValueError("samples are missing")
     if kind >= 5:
         kept = np.frombuffer(raw, np.uint8 if top < 256 else ">u2", n, m.end())
     else:
         kept = np.array(raw[m.end() :].split()[:n], np.int64)
     if len(kept) != n:
         raise ValueError("samples are missing")
+    if kept.max(initial=0) > top or kept.min(initial=0) < 0:
+        raise ValueError("a sample is out of range")
     if top != 255:
         kept = (kept.astype(np.int64) * 255 + top // 2) // top
     return kept.astype(np.uint8, copy=False).reshape((height, width, 3) if channels == 3 else (height, width))
@@ -80,9 +93,13 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if packed not in (0, 3) or depth not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("BMP form not supported")
     stride, rows = (width * depth // 8 + 3) // 4 * 4, abs(height)
+    if start + stride * rows > len(raw):
+        raise ValueError("samples are missing")
     body = np.frombuffer(raw, np.uint8, stride * rows, start).reshape(rows, stride)[:, : width * depth // 8]
     if depth == 8:
-        colours = np.frombuffer(raw, np.uint8, (start - 14 - size) // 4 * 4, 14 + size).reshape(-1, 4)
+        colours = np.frombuffer(raw, np.uint8, max(0, start - 14 - size) // 4 * 4, min(14 + size, len(raw))).reshape(-1, 4)
+        if body.max() >= len(colours):
+            raise ValueError("a colour is missing from the palette")
         image = colours[body][:, :, 2::-1]
     else:
         image = body.reshape(rows, width, depth // 8)[:, :, 2::-1]
@@ -164,11 +181,9 @@ def payload_images(docs: DataFrame, work: runtime.Workspace) -> DataFrame:
     return work.put(runtime.id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def digests(images: DataFrame) -> DataFrame:
-    """What is read back, by its digests; feature: the difference hash and the crc32 of the NPY tile."""
+def digests(images: DataFrame, work: runtime.Workspace | None = None) -> DataFrame:
+    """What is read back, by its digests; feature: the difference hash, and the crc32 of the NPY tile as read from the written tiles."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
 
     def run(batches):
         for batch in batches:
@@ -177,14 +192,15 @@ def digests(images: DataFrame) -> DataFrame:
                 for raw in part["media"].to_pylist():
                     image = decode(raw)
                     payload = image.tobytes()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(tile(image)):08x}"))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.record_batch([part["doc_id"], part["n_bytes"], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [x.split()[0] for x in SCHEMA.split(", ")])
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(image), tile(image)))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                yield pa.record_batch([part["doc_id"], part["n_bytes"], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [x.split()[0] for x in schema.split(", ")])
 
-    return images.mapInArrow(run, SCHEMA)
+    tiles = (work or runtime.Workspace(images.sparkSession)).put(images.mapInArrow(run, schema), "tiles")
+    feature = F.concat_ws(":", "dhash", F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0")))
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(payload_images(runtime.table(spark, sf_dir, "documents"), runtime.Workspace(spark)))
-
-
+    work = runtime.Workspace(spark)
+    return digests(payload_images(runtime.table(spark, sf_dir, "documents"), work), work)
