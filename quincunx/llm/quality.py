@@ -5,7 +5,8 @@ driver from a bounded sample of labelled rows and flattened into arrays, which
 executors traverse for all rows of a batch at once.
 
 Null and empty texts have all-zero counts and get the score of such a document;
-repeated rows are scored alike; an empty table gives an empty result; without
+texts of any length are read whole; repeated rows are scored alike; of equally
+good splits the first column and the lowest threshold are taken; an empty table gives an empty result; without
 labelled rows every score is 0.5. Other columns are not read.
 """
 

@@ -6,8 +6,9 @@ a bounded sample of labelled rows; the buckets with the surest log-count ratios
 become features, present or not, scaled by that ratio; a logistic regression is
 fitted to them on the driver.
 
-Null and empty texts have no features and get the model's base score; repeated
-rows are scored alike; an empty table gives an empty result; without labelled
+Null and empty texts have no features and get the model's base score; texts of
+any length are read whole; of equally sure buckets the lower numbers are taken;
+only doc_id and text are read, whatever other columns there are; repeated rows are scored alike; an empty table gives an empty result; without labelled
 rows of both classes every score is the smoothed rate of the labels that exist.
 """
 
