@@ -11,32 +11,36 @@ from .runtime import Workspace
 def components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b: longs); root is the component's smallest node.
 
-    Alternates large-star and small-star steps until the edges no longer change.
-    Minima are aggregated before the exchange and joined back, so that a node
-    with very many neighbours is split as any skewed join is. Each step's edges
-    are written; only two counters come back to the driver. Loops, repeats and
-    rows with a null are ignored; an empty list has no components.
+    Alternates large-star and small-star steps until the edges are stars: no
+    node is tied twice, and none that others are tied to is tied itself. A
+    node's least neighbour is aggregated, with partial sums before the exchange,
+    and written; the join that brings it back then has a plain exchange on
+    either side, so that a node with very many neighbours is split as any skewed
+    join is. Only one number a step comes to the driver. Loops, repeats and rows
+    with a null are ignored; an empty list has no components.
     """
 
-    def keep(df: DataFrame, step: str):
-        df = work.put(df.where("a > b").distinct(), step)
-        seen = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return df, tuple(seen)
+    def stars(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("centre"))
+        ends = ends.union(df.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre"))
+        return ends.where("tied > 1 or tied = 1 and centre = 1").count() == 0
 
-    at, state = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null"), f"{name}-0")
+    def least(df: DataFrame, step: str) -> DataFrame:
+        """u, m: each node's least neighbour, or itself."""
+        return work.put(df.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), step)
+
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
+    at = work.put(ordered.where("a > b").distinct(), f"{name}-0")
     k = 0
-    while state[0]:
+    while not stars(at):
+        k += 1
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        low = least(both, f"{name}-low")
+        large = both.join(low, both.a == low.u).where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = work.put(large.where("a > b").distinct(), f"{name}-large")
+        low = least(large, f"{name}-low-2")
         small = large.join(low, large.a == low.u).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        k += 1
-        new, after = keep(small, f"{name}-{k}")
-        work.drop(f"{name}-{k - 1}")
-        at = new
-        if after == state:
-            break
-        state = after
+        at = work.put(small.where("a > b").distinct(), f"{name}-{k}")
+        work.drop(f"{name}-{k - 1}", f"{name}-low", f"{name}-large", f"{name}-low-2")
     roots = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

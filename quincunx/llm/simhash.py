@@ -14,7 +14,9 @@ Links within a shard are reduced to a spanning forest before they leave the
 task; distributed union-find joins the forests.
 
 Null and empty texts, and those of blanks only, have fingerprint zero and link
-as any other. A null id has a fingerprint and the component of its rows with
+as any other; texts of any length are read whole; a bit set in exactly half the
+hashes is zero. Only doc_id and text are read, and one_of_each() carries all
+other columns along, whatever their names. A null id has a fingerprint and the component of its rows with
 ids, or a null one if there are none. Repeated rows give repeated results; an
 empty table gives an empty result.
 """
@@ -205,15 +207,22 @@ def classes(docs: DataFrame, work: runtime.Workspace, radius: int = 4, words: in
     distinct = work.put(prints.groupBy("print").agg(F.min("doc_id").alias("low")), "distinct")
     edges = work.put(links(distinct.select("print"), distinct.count(), radius), "links")
     found = work.put(components(edges, work), "found")
-    joined = distinct.join(found, distinct.print == found.node)
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    # What is joined to many rows of a fingerprint or a component is written first, so that such a join can be split.
+    joined = work.put(distinct.join(found, distinct.print == found.node).select("print", "low", "root"), "rooted")
+    lowest = work.put(joined.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     named = joined.join(lowest, "root").select(F.col("print").alias("p"), "component_id")
     low = distinct.join(named, distinct.print == named.p, "left").select(F.col("print").alias("q"), F.coalesce("component_id", "low").alias("component_id"))
+    low = work.put(low, "low")
+    work.drop("distinct", "links", "found", "rooted", "lowest")
     return prints.join(low, prints.print == low.q).select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is their component's. Rows that share an id stay or go together; rows without one stay."""
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 5) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is their component's. Rows that share an id stay or go together; rows without one stay.
+
+    Shingles have five words here, as near-duplicate stages take; four bits find
+    the nearest copies only (the README has the share of those of 0.8).
+    """
     work = runtime.Workspace(docs.sparkSession)
     gone = classes(docs, work, radius, words).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
