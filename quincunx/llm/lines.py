@@ -9,23 +9,29 @@ union-find. Of a component's occurrences the one with the smallest (doc_id,
 line number) stays.
 
 Band hashes travel packed, a bucket of the hash space at a time. Lines that meet
-within one task are linked to a representative there, so that a band shared by
-a large part of all lines reaches its bucket once a task, not once a line.
-Within a band's group, lines are compared with the group's smallest; those that
-fail meet the group's line with most links next, and each other for the rest of
-ROUNDS rounds. Then all lines of a group with any failure, settled ones too, are
-compared where two of different components have a rare shingle in common, so
-that no two similar lines of a group stay apart.
+within one task are tied to the least of them there, which alone stands for them
+in the bucket, so that a band shared by a large part of all lines reaches its
+bucket once a task, not once a line. Each line is first compared with the line it
+is tied to. In a band where any of that failed, any two lines that are not yet of
+one component may still be alike. If at most FEW lines are outside the band's
+commonest component, they meet all lines of the band. Else they meet the line
+with most links, and what is still apart is compared where two lines of different
+components have a rare shingle in common.
+So no two similar lines of a band stay apart.
 
 Null and empty texts have no lines; blank lines are never removed. Rows equal in
 doc_id and text count as one document and get the same result; null ids come
-last. A document keeps its line breaks between kept lines. An empty table gives
-an empty result. Lines are known by 64-bit hashes of their bytes.
+last. Ties between equal lines go to the smaller doc_id, then the earlier line.
+Texts and lines of any length are read whole. A document keeps its line breaks
+between kept lines. An empty table gives an empty result. Columns of docs other
+than doc_id and text are carried along, whatever their names; only text_kept and
+n_gone are replaced by without(). Lines are known by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +43,13 @@ from pyspark.sql import functions as F
 from . import runtime
 from .components import components
 
-SHINGLE, BANDS, ROWS, SIMILAR, ROUNDS = 8, 14, 5, 0.8, 3
+SHINGLE, BANDS, ROWS, SIMILAR = 8, 14, 5, 0.8
+#: Bits (2 to this power) of the filter for lines whose text is wanted, and how many a line sets.
+FILTER_BITS, FILTER_HASHES = 26, 3
+#: Shingles are counted in so many cells (2 to this power) where groups are compared shingle by shingle.
+SKETCH_BITS = 20
+#: So many lines of a band, at most, are compared with all of its lines.
+FEW = 8
 BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -196,8 +208,16 @@ def _distinct(batches, most: int):
 
 
 def groups(docs: DataFrame, work: runtime.Workspace) -> DataFrame:
-    """band, line: the members of every band shared by two lines or more."""
+    """band, line, lead: of every band shared by two lines or more, what each line is tied to (a smaller one, so that all hang together)."""
     n_buckets = 16 * max(1, docs.rdd.getNumPartitions())  # a bucket holds what a part of an input split sends
+    names = ["bucket", "bands", "lines", "leads"]
+
+    def tied(band, line):
+        """Of rows in order of band and line: where bands begin, each row's least line, and which rows are not that line."""
+        first = np.concatenate([[True], band[1:] != band[:-1]])
+        start = np.flatnonzero(first)
+        lead = np.repeat(line[start], np.diff(np.append(start, len(band))))
+        return start, lead, line != lead
 
     def run(batches):
         for held in _distinct(batches, 6_000_000):
@@ -207,62 +227,101 @@ def groups(docs: DataFrame, work: runtime.Workspace) -> DataFrame:
             line = np.repeat(ids, BANDS)
             order = np.lexsort((line, band))
             band, line = band[order], line[order]
-            first = np.concatenate([[True], band[1:] != band[:-1]])
-            start = np.flatnonzero(first)
-            size = np.diff(np.append(start, len(band)))
-            shared = np.repeat(size > 1, size)
-            # Members of a band met here twice or more go out as such, its first stands for them elsewhere.
-            if shared.any():
-                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([band[shared].tobytes()]), pa.array([line[shared].tobytes()])], ["bucket", "bands", "lines"])
+            start, lead, others = tied(band, line)
+            # What meets here goes out as tied; the least line stands for it elsewhere.
+            if others.any():
+                yield pa.record_batch([pa.array([-1], pa.int32()), *(pa.array([x[others].tobytes()]) for x in (band, line, lead))], names)
             band, line = band[start], line[start]
             bucket = (band >> np.uint64(20)) % np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
             took = [(k, order[cut[k] : cut[k + 1]]) for k in range(n_buckets) if cut[k] < cut[k + 1]]
-            yield pa.record_batch([pa.array([k for k, _ in took], pa.int32()), pa.array([band[o].tobytes() for _, o in took], pa.binary()), pa.array([line[o].tobytes() for _, o in took], pa.binary())], ["bucket", "bands", "lines"])
+            packed = [pa.array([x[o].tobytes() for _, o in took], pa.binary()) for x in (band, line)]
+            yield pa.record_batch([pa.array([k for k, _ in took], pa.int32()), *packed, pa.nulls(len(took), pa.binary())], names)
 
     def meet(batches):
-        now, held = None, ([], [])
+        now, held = None, ([], [], [])
 
         def close():
-            band, line = (np.frombuffer(b"".join(h), t) for h, t in zip(held, (np.uint64, np.int64), strict=True))
+            band, line = (np.frombuffer(b"".join(h), t) for h, t in zip(held, (np.uint64, np.int64), strict=False))
             if now >= 0:
                 order = np.lexsort((line, band))
                 band, line = band[order], line[order]
-                fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (line[1:] != line[:-1])])
-                band, line = band[fresh], line[fresh]
-                same = band[1:] == band[:-1]
-                shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-                band, line = band[shared], line[shared]
-            return pa.record_batch([pa.array(band.view(np.int64)), pa.array(line)], ["band", "line"])
+                _, lead, others = tied(band, line)
+                band, line, lead = band[others], line[others], lead[others]
+            else:
+                lead = np.frombuffer(b"".join(held[2]), np.int64)
+            return pa.record_batch([pa.array(band.view(np.int64)), pa.array(line), pa.array(lead)], ["band", "line", "lead"])
 
         for batch in batches:
-            for bucket, b, x in zip(batch["bucket"].to_pylist(), batch["bands"].to_pylist(), batch["lines"].to_pylist(), strict=True):
+            for bucket, *packed in zip(*(batch[n].to_pylist() for n in names), strict=True):
                 if now is not None and (bucket != now or now < 0):
                     yield close()
-                    held = ([], [])
+                    held = ([], [], [])
                 now = bucket
-                held[0].append(b)
-                held[1].append(x)
+                for column, value in zip(held, packed, strict=True):
+                    column.append(value)
         if now is not None:
             yield close()
 
-    packed = numbered(docs).select("text").mapInArrow(run, "bucket int, bands binary, lines binary")
+    packed = numbered(docs).select("text").mapInArrow(run, "bucket int, bands binary, lines binary, leads binary")
     dealt = packed.repartition(F.when(F.col("bucket") < 0, F.xxhash64("bands")).otherwise(F.xxhash64("bucket"))).sortWithinPartitions("bucket")
-    return work.put(dealt.mapInArrow(meet, "band long, line long").distinct(), "groups")
+    return work.put(dealt.mapInArrow(meet, "band long, line long, lead long").distinct(), "groups")
+
+
+def _filter_cells(ids: np.ndarray) -> np.ndarray:
+    """The cells of a filter for each line: a row each of FILTER_HASHES."""
+    h = ids.view(np.uint64)
+    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(FILTER_HASHES)]
+    return np.stack([(h * x) >> np.uint64(64 - FILTER_BITS) for x in odd]).astype(np.int64)
+
+
+def line_filter(wanted: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits, set for the wanted lines: it passes all of them, and of the others fewer the fewer are wanted."""
+    slices, cells = 64, 1 << (FILTER_BITS - 6)
+
+    def mark(batches):
+        held = np.zeros((slices, cells // 8), np.uint8)
+        for batch in batches:
+            at = np.unique(_filter_cells(batch["line"].to_numpy()))
+            cut = np.searchsorted(at, np.arange(slices + 1) * cells)
+            for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                bits = np.zeros(cells, bool)
+                bits[at[cut[k] : cut[k + 1]] - k * cells] = True
+                held[k] |= np.packbits(bits, bitorder="little")
+        took = np.flatnonzero(held.any(1)).tolist()
+        yield pa.record_batch([pa.array(took, pa.int32()), pa.array([held[k].tobytes() for k in took], pa.binary())], ["slice", "bits"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch["slice"].to_pylist(), batch["bits"].to_pylist(), strict=True):
+                bits = np.frombuffer(raw, np.uint8)
+                held[k] = held[k] | bits if k in held else bits
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slice", "bits"])
+
+    kind = "slice int, bits binary"
+    found = wanted.select("line").mapInArrow(mark, kind).repartition("slice").mapInArrow(merge, kind).toArrow()
+    out = np.zeros((slices, cells // 8), np.uint8)
+    for k, raw in zip(found["slice"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(raw, np.uint8)
+    return out.ravel()
 
 
 def texts(docs: DataFrame, wanted: DataFrame, work: runtime.Workspace) -> DataFrame:
-    """line and text of the wanted lines; all lines travel once, compressed together by bucket."""
+    """line and text of the wanted lines. What passes a filter of fixed size travels, compressed together by bucket; the bucket's requests decide."""
+    shared = docs.sparkSession.sparkContext.broadcast(line_filter(wanted))  # 2**FILTER_BITS bits, whatever the input
     n_buckets = 8 * max(1, docs.rdd.getNumPartitions())
 
     def pack(batches):
         import zstandard
 
-        packer = zstandard.ZstdCompressor(1)
+        packer, passes = zstandard.ZstdCompressor(1), shared.value
         for held in _distinct(batches, 16_000_000):
             ids = np.fromiter(held, np.int64, len(held))
-            values = [v.encode("utf-8", "surrogatepass") for v in held.values()]
+            cells = _filter_cells(ids)
+            ids = ids[(passes[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).all(0)]
+            values = [held[i].encode("utf-8", "surrogatepass") for i in ids.tolist()]
             bucket = ids.view(np.uint64) % np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
@@ -319,120 +378,209 @@ def verified(pairs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> Da
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def sharing_prefixes(rooted: DataFrame, similar: float) -> DataFrame:
+def _shingle_values(text: str) -> np.ndarray:
+    packed = packed_shingles(text)
+    return np.fromiter(map(shingle_id, shingles(text)), np.uint64) if packed is None else packed
+
+
+def _cell(values: np.ndarray) -> np.ndarray:
+    """Which counter of the sketch a shingle is counted in."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def shingle_counts(rooted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each of 2**SKETCH_BITS cells: in how many lines its shingles are (0 if all those lines have one root), and a root of many of them.
+
+    The root is found by majority votes in each task, of which the surest is
+    taken. Any root will do: it is only what spares most comparisons.
+    """
+    size = 1 << SKETCH_BITS
+
+    def run(batches):
+        n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        main, votes = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for part in runtime.small(batch, 1 << 20):
+                for root, text in zip(part["root"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    at = np.unique(_cell(_shingle_values(text)))
+                    n[at] += 1
+                    least[at] = np.minimum(least[at], root)
+                    most[at] = np.maximum(most[at], root)
+                    votes[at] += np.where(main[at] == root, 1, -1)
+                    lost = at[votes[at] < 0]
+                    main[lost], votes[lost] = root, 1
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(x) for x in (at, n[at], least[at], most[at], main[at], votes[at])], ["cell", "n", "least", "most", "main", "votes"])
+
+    counted = rooted.select("root", "text").mapInArrow(run, "cell long, n long, least long, most long, main long, votes long").groupBy("cell")
+    counted = counted.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max(F.struct("votes", "main"))["main"].alias("main"))
+    found = counted.where("least <> most").select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), "main").toArrow()  # at most 2**SKETCH_BITS rows
+    count, main = np.zeros(size, np.int32), np.zeros(size, np.int64)
+    at = found["cell"].to_numpy()
+    count[at], main[at] = found["n"].to_numpy(), found["main"].to_numpy()
+    return count, main
+
+
+def sharing_prefixes(rooted: DataFrame, work: runtime.Workspace, similar: float) -> DataFrame:
     """Pairs (a, b) of the rows (line, root, text) of different roots that can be similar; none that is similar is missing.
 
-    Shingles are put in order, rarest among these lines first. Sets x and y of
-    a similarity of at least t have at least c = t / (1 + t) * (|x| + |y|) in
-    common, so the first common one stands at most |x| - c and |y| - c down.
-    Shingles of one root only come first and are left out.
+    Shingles are put in order, those in few of these lines first. Sets x and y
+    of a similarity of at least t have at least c = t / (1 + t) * (|x| + |y|) in
+    common, so the first common one stands at most |x| - c and |y| - c down, and
+    a line sends out only its first shingles. Any order does; theirs is by the
+    counts of a sketch of fixed size, which is broadcast. Shingles of one root
+    only come first and are left out. Of a shingle's lines, those of the root
+    that the sketch names meet the others only. Lines are dealt out evenly
+    first, as taking them apart is the work.
     """
+    rooted = rooted.select("line", "root", "text").repartition("line")
+    shared = rooted.sparkSession.sparkContext.broadcast(shingle_counts(rooted))  # 12 bytes a cell
 
     def run(batches):
+        count, main = shared.value
         for batch in batches:
             for part in runtime.small(batch, 1 << 20):
-                hashes = []
-                for text in part["text"].to_pylist():
-                    packed = packed_shingles(text)
-                    hashes.append(np.fromiter(map(shingle_id, shingles(text)), np.uint64) if packed is None else packed)
-                sizes = [len(h) for h in hashes]
-                columns = [np.repeat(part[c].to_numpy(), sizes) for c in ("line", "root")]
-                yield pa.record_batch([*map(pa.array, columns), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), pa.array(np.concatenate(hashes).view(np.int64))], ["line", "root", "size", "token"])
-
-    tokens = rooted.select("line", "root", "text").mapInArrow(run, "line long, root long, size int, token long")
-    common = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token", "n")
-    length = F.col("size") - F.ceil(similar * F.col("size") - 1e-9) + 1
-    ranked = tokens.join(common, "token").groupBy("line").agg(F.max("root").alias("root"), F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
-    ranked = ranked.withColumn("own", F.col("size") - F.size("all")).where(length > F.col("own"))
-    places = ranked.select("line", "root", "size", "own", F.posexplode(F.slice("all", F.lit(1), (length - F.col("own")).cast("int"))).alias("k", "at")).select("line", "root", "size", (F.col("own") + F.col("k")).alias("place"), "at.token")
-    # Of a token's lines, those of its commonest root meet the others only.
-    main = places.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    places = places.join(main, "token").withColumn("main", F.col("root") == F.col("main"))
+                sizes, places, tokens, mains = [], [], [], []
+                for root, text in zip(part["root"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    values = _shingle_values(text)
+                    cells = _cell(values)
+                    first = np.arange(len(values) - math.ceil(similar * len(values) - 1e-9) + 1)
+                    order = np.lexsort((values, count[cells]))[first]
+                    kept = count[cells[order]] > 0
+                    sizes.append(len(values))
+                    places.append(first[kept])
+                    tokens.append(values[order][kept])
+                    mains.append(main[cells[order][kept]] == root)
+                times = [len(x) for x in tokens]
+                columns = [np.repeat(part[c].to_numpy(), times) for c in ("line", "root")]
+                numbers = [np.repeat(np.array(sizes, np.int32), times), np.concatenate(places).astype(np.int32), np.concatenate(tokens).view(np.int64)]
+                yield pa.record_batch([pa.array(x) for x in (*columns, *numbers, np.concatenate(mains))], ["line", "root", "size", "place", "token", "main"])
+
+    places = rooted.mapInArrow(run, "line long, root long, size int, place int, token long, main boolean")
+    places = work.put(places, "placed")  # so that a frequent shingle's join is split
     x, y = places.where("not main").alias("x"), places.alias("y")
     least = F.ceil(similar / (1 + similar) * (F.col("x.size") + F.col("y.size")) - 1e-9)
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("y.main") | (F.col("x.line") > F.col("y.line"))) & (F.col("x.root") != F.col("y.root")) & (F.col("x.place") + least <= F.col("x.size")) & (F.col("y.place") + least <= F.col("y.size"))
+    other = (F.col("y.main") | (F.col("x.line") > F.col("y.line"))) & (F.col("x.root") != F.col("y.root"))
+    near = (F.col("x.token") == F.col("y.token")) & other & (F.col("x.place") + least <= F.col("x.size")) & (F.col("y.place") + least <= F.col("y.size"))
     return x.join(y, near).select(F.greatest("x.line", "y.line").alias("a"), F.least("x.line", "y.line").alias("b")).distinct()
 
 
+def extended(known: DataFrame, edges: DataFrame, work: runtime.Workspace, name: str) -> DataFrame:
+    """known (node, root) with more edges (a, b): only roots take part in what joins components, the others follow theirs."""
+
+    def up(df: DataFrame, end: str) -> DataFrame:
+        roots = known.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(roots, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_root", end)).drop("_node", "_root")
+
+    top = components(up(up(edges.select("a", "b"), "a"), "b"), work, f"{name}-top").toDF("below", "top")
+    every = known.union(top.select("below", F.col("below").alias("root"))).distinct()
+    return work.put(every.join(top, F.col("root") == F.col("below"), "left").select("node", F.coalesce("top", "root").alias("root")), name)
+
+
 def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of every line that has a fuzzy copy."""
-    members = every = groups(docs, work)
+    pairs = groups(docs, work)
     work.release()
-    lines = texts(docs, members.select("line").distinct(), work)
+    lines = texts(docs, pairs.select("line").union(pairs.select("lead")).distinct(), work)
     work.release()
-    edges = torn = None
-    for k in range(ROUNDS):
-        lead = members.groupBy("band").agg(F.min("line").alias("b")) 
-        if k == 1:
-            lead = lead.join(central, "band", "left").select("band", F.coalesce("hub", "b").alias("b"))
-        pairs = members.withColumnRenamed("line", "a").join(lead, "band").where("a <> b")
-        done = work.put(verified(pairs.select("a", "b").distinct(), lines, similar), f"tested-{k}")
-        good = done.where("ok").select("a", "b")
-        edges = good if edges is None else edges.union(good)
-        failed = pairs.join(done.where("not ok"), ["a", "b"], "left_semi").select("band", F.col("a").alias("line"))
-        if k == 0:
-            # Next they meet the band's line with most links: the first leader may be a variant, and what it is a variant of be settled.
-            torn = work.put(failed.join(lead, "band").select("band", "b").distinct(), "torn")
-            links = good.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-            central = every.join(torn, "band").where("line <> b").join(links, "line").groupBy("band").agg(F.max_by("line", F.struct("n", "line")).alias("hub"))
-            members = work.put(failed, "left-0")
-            continue
-        alone = failed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        members = work.put(failed.join(alone, "band", "left_semi"), f"left-{k}")
-        if not members.take(1):
-            break
-    known = components(edges, work, "so-far")
+    tested = work.put(verified(pairs.select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct(), lines, similar), "tested")
+    known = work.put(components(tested.where("ok"), work, "first"), "known")
+    failed = tested.where("not ok").select("a", "b")
+    torn = work.put(pairs.join(failed, (F.col("line") == F.col("a")) & (F.col("lead") == F.col("b")), "left_semi").select("band").distinct(), "torn")
     if not torn.take(1):
+        work.drop("groups", "texts", "tested", "torn")
         return known
-    # Any two lines of a band may be alike where its first leader failed with some, settled ones too; those of one component need no link.
-    members = every.join(torn.select("band"), "band")
-    rooted = members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-    roots = work.put(rooted.join(mixed, "band", "left_semi").select("line", "root").distinct(), "mixed")
-    pairs = sharing_prefixes(roots.join(lines, "line"), similar)
-    late = verified(pairs, lines, similar).where("ok")
-    # Only roots take part in what joins components; the others follow theirs.
-    late = late.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    top = components(late, work).toDF("below", "top")
-    all_nodes = known.select("node", "root").union(top.select("below", "below")).distinct()
-    return all_nodes.join(top, F.col("root") == F.col("below"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    members = pairs.join(torn, "band").select("band", F.explode(F.array("line", "lead")).alias("line")).distinct()
+    members = work.put(members.join(known, members.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root")), "members")
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band")
+    sizes = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("apart"))
+    mixed = work.put(sizes.where("apart > 0 and n > 2").select("band", "main", "apart"), "mixed")
+    apart = work.put(members.join(mixed, "band").where("root <> main").select("band", "line", "root", (F.col("apart") <= FEW).alias("few")), "apart")
+    # Few lines apart: at most FEW pairs for each line of the band.
+    x, y = apart.where("few").alias("x"), members.alias("y")
+    meet = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")))
+    direct = meet.select(F.greatest("x.line", "y.line").alias("a"), F.least("x.line", "y.line").alias("b")).distinct()
+    direct = verified(direct.join(failed, ["a", "b"], "left_anti"), lines, similar).where("ok").select("a", "b")
+    # Many: the line with most links first, as what the others are tied to may be a variant of it.
+    links = tested.where("ok").select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("n"))
+    rest = apart.where("not few").select("band", "line")
+    crowded = work.put(rest.select("band").distinct(), "crowded")
+    hubs = members.join(crowded, "band").join(links, F.col("line") == F.col("linked"), "left").groupBy("band")
+    lead = work.put(hubs.agg(F.max_by("line", F.struct(F.coalesce("n", F.lit(0)), "line")).alias("lead")), "lead")
+    asked = rest.join(lead, "band").where("line <> lead").select(F.greatest("line", "lead").alias("a"), F.least("line", "lead").alias("b")).distinct()
+    edges = direct.union(verified(asked, lines, similar).where("ok").select("a", "b"))
+    known = extended(known, edges, work, "joined")
+    work.drop("groups", "tested", "torn", "mixed", "apart", "lead")
+    if not crowded.take(1):
+        work.drop("texts", "members", "crowded")
+        return known
+    again = members.join(crowded, "band").select("band", "line")
+    again = again.join(known, again.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+    left = again.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+    left = work.put(left, "left")
+    again = work.put(again.join(left, "band").select("line", "root").distinct(), "again")
+    late = verified(sharing_prefixes(again.join(lines, "line"), work, similar), lines, similar).where("ok")
+    known = extended(known, late, work, "all")
+    work.drop("texts", "members", "crowded", "left", "again", "placed", "joined", "known")
+    return known
 
 
 def removals(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:
-    """rid and the numbers of the lines that go, for each document that loses any."""
+    """rid, doc_id and the numbers of the lines that go, for each document that loses any."""
     found = linked(docs, work, similar)
+    work.release()
     where = work.put(occurrences(docs), "occurrences")
-    rooted = where.join(found, where.line == found.node, "left").select(F.coalesce("root", "line").alias("root"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "pos").alias("at"))
-    first = rooted.groupBy("root").agg(F.min("at").alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept")
-    gone = rooted.join(first, "root").where("at <> kept").select("at.rid", "at.pos").distinct()
-    return gone.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    each = where.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    each = work.put(each.join(found, each.line == found.node, "left").select("line", F.coalesce("root", "line").alias("root"), "doc_id", "n"), "each")
+    first = each.groupBy("root").agg(F.min("doc_id").alias("first"), F.sum("n").alias("many")).where("many > 1").select("root", "first")
+    first = work.put(first, "first")
+    # Lines that recur, alike or nearly so, are written by themselves: the one that very many documents have can then be split.
+    kept = work.put(each.join(first, "root").select("line", "root", "first"), "kept")
+    met = work.put(where.join(kept, "line").select("rid", "doc_id", "pos", "root", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")), "met")
+    # In the first document itself, its first line of the component stays; without an id, that of the least rid.
+    own = met.where("not later")
+    stays = work.put(own.groupBy("root").agg(F.min(F.struct("rid", "pos")).alias("at")).select("root", "at"), "stays")
+    own = own.join(stays, "root").where(F.struct("rid", "pos") != F.col("at"))
+    gone = met.where("later").select("rid", "doc_id", "pos").union(own.select("rid", "doc_id", "pos")).distinct()
+    out = work.put(gone.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "gone")
+    work.drop("occurrences", "each", "first", "kept", "met", "stays")
+    return out
 
 
-def without(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -> DataFrame:
-    """All rows and columns of docs with text_kept (the text without the lines that go) and n_gone (how many)."""
-    gone = work.put(removals(docs, work, similar), "gone")
+def without(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR, kept: str = "text_kept", n_gone: str = "n_gone") -> DataFrame:
+    """All rows and columns of docs with text_kept (the text without the lines that go) and n_gone (how many); columns of these two names are replaced."""
+    gone = removals(docs, work, similar)
     work.release()
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    gone = gone.select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, rid == F.col("_rid"), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("_gone", k)), "\n"))
-    return joined.select(*(docs[c] for c in docs.columns), kept.alias("text_kept"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"))
+    rid, own, lost = (runtime.fresh(docs, x) for x in ("rid", "own", "lost"))
+    gone = gone.select(F.col("rid").alias(rid), F.col("doc_id").alias(own), F.col("gone").alias(lost))
+    same = (F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == F.col(rid)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own))
+    joined = docs.join(gone, same, "left")
+    columns = [docs[runtime.quoted(c)] for c in docs.columns if c not in (kept, n_gone)]
+    split = F.when(F.col(lost).isNotNull(), F.split(docs["text"].cast("string"), "\n", -1))
+    apart = joined.select(*columns, lost, split.alias(rid))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(rid) - 1), lost)  # linear in the lines, however many go
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda k: F.get(rid, k)), "\n"))
+    names = [runtime.quoted(c) for c in docs.columns if c not in (kept, n_gone)]
+    return apart.select(*names, text.alias(kept), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias(n_gone))
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with the kept text in its place; a document of which nothing but blanks stays goes, if it lost any line. n_chars, if there, follows."""
     work = runtime.Workspace(docs.sparkSession)
-    out = without(docs.select(*[c for c in docs.columns if c not in ("text_kept", "n_gone")]), work, similar)
-    out = out.where((F.col("n_gone") == 0) | F.col("text_kept").rlike(r"\S"))
-    cols = {"text": F.col("text_kept").alias("text"), "n_chars": F.when(F.col("n_gone") > 0, F.length("text_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
-    return out.select(*(cols.get(c, F.col(c)) if c in cols else F.col(f"`{c}`") for c in docs.columns if c not in ("text_kept", "n_gone")))
+    kept, n_gone = runtime.fresh(docs, "kept"), runtime.fresh(docs, "n_gone")
+    out = without(docs, work, similar, kept, n_gone)
+    out = out.where((F.col(n_gone) == 0) | F.col(kept).rlike(r"\S"))
+    changed = {"text": F.col(kept).cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(n_gone) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(runtime.quoted(c))).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256 of every document."""
     docs = runtime.id_and_text(runtime.table(spark, sf_dir, "documents"))
     found = without(docs, runtime.Workspace(spark))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"\S")))
+    n_lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S[^\n]*"))  # from a line's first sign to its end
     return found.select("doc_id", n_lines.cast("long").alias("n_lines"), F.col("n_gone").alias("n_removed"), F.sha2(F.coalesce("text_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
