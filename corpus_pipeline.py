@@ -34,7 +34,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
 
-#: A trained model, fuzzy groups and a tokenizer are beyond SQL; the pipeline is tested against plain Python.
+#: A trained model, fuzzy groups and a tokenizer are beyond SQL; tests/llm compares each stage with plain Python.
 ORACLE_SQL = None
 
 

@@ -12,3 +12,5 @@ SCALE = 10_000  # of stored vectors
 FINE = 100_000_000  # of unquantized queries, as integers
 BLOCK = 16
 KNOWN_MERCHANTS = 32
+# Names of the last six features.
+TAIL_NAMES = ("tx_count_24h", "is_online", "card_present", "unknown_merchant", "mcc_risk", "merchant_avg")

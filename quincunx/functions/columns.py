@@ -112,6 +112,16 @@ def grid_parts(q: Column) -> list[Column]:
     return [bins(0, 16), bins(2, 8), F.when(q[5] < 0, 0).otherwise(1 + bins(5, 8)), bins(7, 16), flags]
 
 
+def grid_parts_float(v: Column) -> list[Column]:
+    """The same bins of a vector that is not quantized: whole parts of scaled components, flags above a half."""
+
+    def bins(k, n):
+        return clamp_int((v[k] * n).cast("int"), n - 1)
+
+    flags = reduce(add, [F.when(v[k] > 0.5, bit).otherwise(0) for k, bit in ((9, 1), (10, 2), (11, 4))])
+    return [bins(0, 16), bins(2, 8), F.when(v[5] < 0, 0).otherwise(1 + bins(5, 8)), bins(7, 16), flags]
+
+
 def grid_key(a: Column, r: Column, last: Column, km: Column, flags: Column) -> Column:
     return (((a * 8 + r) * 9 + last) * 16 + km) * 8 + flags
 

@@ -41,3 +41,24 @@ def stratified(v: DataFrame, sample: int, seed: int = 0) -> DataFrame:
 def subset(v: DataFrame, n: int, key: str = "event_id", seed: int = 0) -> DataFrame:
     """n rows without replacement by hash order; all rows if n is not positive."""
     return v if n <= 0 else v.orderBy(f.lcg_mix(F.col(key), seed), key).limit(n)
+
+
+def with_replacement(v: DataFrame, n: int, key: str = "event_id", seed: int = 0) -> DataFrame:
+    """draw (0 to n - 1) and key: n rows drawn independently, each by hash of its number.
+
+    Rows are numbered in order of the key: by the sort's partitions, of which
+    one number each comes to the driver, and by their place within them.
+    """
+    ordered = v.select(key).orderBy(key).select(key, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).persist()
+    sizes = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}
+    total = sum(sizes.values())
+    draws = v.sparkSession.range(n).select(F.col("id").alias("draw"))
+    if not total:
+        return draws.limit(0).join(v.select(key), F.lit(False), "left")
+    before, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, before))
+        before += sizes[part]
+    first = v.sparkSession.createDataFrame(rows, "part int, first long")  # a row a partition
+    numbered = ordered.join(F.broadcast(first), "part").select(key, (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
+    return draws.withColumn("number", f.lcg_mix(F.col("draw"), seed) % total).join(numbered, "number").select("draw", key)

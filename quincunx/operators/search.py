@@ -17,8 +17,47 @@ from ..functions import columns as f
 
 #: Centroids are broadcast: at most so many, of 14 longs each.
 MOST_CENTROIDS = 65_536
+#: A query set is broadcast up to so many rows.
+BROADCAST_ROWS = 50_000
 #: About how many rows of a cluster, and how many of its queries, one task holds at once.
-PART_ROWS, PART_QUERIES = 100_000, 20_000
+PART_ROWS, PART_QUERIES = 16_384, 8_192
+
+
+class Kept:
+    """Frames held in memory, and on disk beyond it, until release()."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames.clear()
+
+
+def nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, squared distance) of each a's k nearest in order, ties to the earlier b; whole numbers, exact.
+
+    A matrix product in floating point leaves all that its rounding cannot rule
+    out among the k nearest; those are compared in whole numbers.
+    """
+    x, y = a.astype(float), b.astype(float)
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    about = x @ (-2 * y.T)
+    about += xx[:, None]
+    about += yy
+    doubt = (np.sqrt(xx.max(initial=0)) + np.sqrt(yy.max(initial=0))) ** 2 * 2.0**-46
+    most = np.partition(about, k - 1, axis=1)[:, k - 1 : k] if about.shape[1] > k else about.max(1, keepdims=True)
+    row, col = np.nonzero(about <= most + 2 * doubt)
+    dist = ((a[row] - b[col]) ** 2).sum(1)
+    order = np.lexsort((col, dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], dist[keep]
 
 
 def first_per(df: DataFrame, key: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -26,9 +65,20 @@ def first_per(df: DataFrame, key: str, order: list, k: int, rank: str = "rank")
     return df.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def against_all(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each of a stated query set with every row, as pairs: the smaller side is sent to all tasks only up to BROADCAST_ROWS, in blocks beyond."""
+    blocks = max(1, -(-queries.count() // BROADCAST_ROWS))
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(queries))
+    key = queries.columns[0]
+    mine = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    every = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return every.join(mine, "_block").drop("_block")
+
+
 def exact(queries: DataFrame, refs: DataFrame, k: int = c.NEIGHBOURS, n: int = c.DIM) -> DataFrame:
     """qid, id, label, dist, rank by comparing every query (qid, q) with every reference (id, label, q): a stated query set against all rows."""
-    pairs = refs.crossJoin(F.broadcast(queries.select("qid", F.col("q").alias("asked"))))
+    pairs = against_all(queries.select("qid", F.col("q").alias("asked")), refs)
     return first_per(pairs.select("qid", "id", "label", f.l2_sq(F.col("asked"), F.col("q"), n).alias("dist")), "qid", ["dist", "id"], k)
 
 
@@ -37,11 +87,36 @@ def votes(queries: DataFrame, near: DataFrame, name: str = "votes") -> DataFrame
     return queries.select("qid").join(near.groupBy("qid").agg(F.sum("label").alias(name)), "qid", "left").select("qid", F.coalesce(name, F.lit(0)).cast("long").alias(name))
 
 
+def _table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cids, components) on the driver, of at most MOST_CENTROIDS."""
+    rows = centroids.select("cid", "c").orderBy("cid").limit(MOST_CENTROIDS + 1).collect()
+    if len(rows) > MOST_CENTROIDS:
+        raise ValueError("too many centroids")
+    return np.array([r["cid"] for r in rows], np.int32), np.array([r["c"] for r in rows], np.int64).reshape(-1, c.DIM)
+
+
 def ranked_centroids(queries: DataFrame, centroids: DataFrame, most: int, fine: bool = True) -> DataFrame:
-    """qid, cid, dist, rank of the nearest centroids (cid, c); fine: by h against scaled centroids, else by q."""
+    """qid, cid, dist, rank of the nearest centroids (cid, c); fine: by h against scaled centroids, else by q.
+
+    A batch of queries is compared with all centroids in whole numbers and sends
+    on `most` rows a query: with thousands of centroids, pairs are never rows.
+    """
     asked, times = ("h", c.FINE // c.SCALE) if fine else ("q", 1)
-    pairs = queries.crossJoin(F.broadcast(centroids)).select("qid", "cid", f.l2_sq(F.col(asked), F.col("c"), times=times).alias("dist"))
-    return first_per(pairs, "qid", ["dist", "cid"], most)
+    cids, table = _table(centroids)
+    table = table * times
+    step = max(1, 2_000_000 // max(1, len(cids)))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(cids) else 0, step):
+                part = batch.slice(at, step)
+                x = part[asked].flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, c.DIM)
+                row, col, dist = nearest(x, table, most)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.record_batch([part["qid"].take(pa.array(row)), pa.array(cids[col]), pa.array(dist), pa.array(rank.astype(np.int32))], ["qid", "cid", "dist", "rank"])
+
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("cid", T.IntegerType()), T.StructField("dist", T.LongType()), T.StructField("rank", T.IntegerType())])
+    return queries.select("qid", asked).mapInArrow(run, schema)
 
 
 def assign(points: DataFrame, centroids: DataFrame, q: str = "q") -> DataFrame:
@@ -52,11 +127,8 @@ def assign(points: DataFrame, centroids: DataFrame, q: str = "q") -> DataFrame:
     because fixed-point distances stay far below 2**53; the points are neither
     multiplied nor moved, which with thousands of centroids a join would do.
     """
-    rows = centroids.select("cid", "c").orderBy("cid").collect()
-    if len(rows) > MOST_CENTROIDS:
-        raise ValueError("too many centroids")
-    cids = np.array([r["cid"] for r in rows], np.int32)
-    table = np.array([r["c"] for r in rows], float).reshape(-1, c.DIM)
+    cids, table = _table(centroids)
+    table = table.astype(float)
     norms = (table**2).sum(1)
 
     def run(batches):
@@ -94,50 +166,43 @@ def probe(queries: DataFrame, probes: DataFrame, postings: DataFrame, fine: bool
     mine = mine.withColumn("j", of("qid", "queries")).select("cid", every("rows").alias("i"), "j", "qid", "asked")
     listed = postings.select("cid", "id", "label", "q").join(sizes, "cid").withColumn("i", of("id", "rows")).select("cid", "i", every("queries").alias("j"), "id", "label", "q")
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         matrix = lambda column: column.combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, dim)
         right = right.sort_by("id")
-        a, p = matrix(left["asked"]), matrix(right["q"]).T * times
-        step = max(1, 2_000_000 // max(1, p.shape[1]))
+        a, p = matrix(left["asked"]), matrix(right["q"]) * times
+        step = max(1, 2_000_000 // max(1, len(p)))
         who, which, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(a) if p.shape[1] else 0, step):
+        for at in range(0, len(a) if len(p) else 0, step):
             some = a[at : at + step]
-            dist = np.zeros((len(some), p.shape[1]), np.int64)
-            for d in range(dim):
-                gap = some[:, d, None] - p[d]
-                gap *= gap
-                dist += gap
-            most = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if p.shape[1] > k else dist.max(1, keepdims=True)
-            row, col = np.nonzero(dist <= most)
-            order = np.lexsort((col, dist[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[keep], col[keep]
+            row, col, dist = nearest(some, p, k)
             who.append(row + at)
             which.append(col)
-            far.append(dist[row, col])
+            far.append(dist)
         who, which = pa.array(np.concatenate(who)), pa.array(np.concatenate(which))
         return pa.table({"qid": left["qid"].take(who), "id": right["id"].take(which), "label": right["label"].take(which), "dist": pa.array(np.concatenate(far))})
 
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), *[T.StructField(x, postings.schema[x].dataType) for x in ("id", "label")], T.StructField("dist", T.LongType())])
-    found = mine.repartition(n, *key).groupBy(*key).cogroup(listed.repartition(n, *key).groupBy(*key)).applyInArrow(nearest, schema)
+    found = mine.repartition(n, *key).groupBy(*key).cogroup(listed.repartition(n, *key).groupBy(*key)).applyInArrow(compare, schema)
     return first_per(found, "qid", ["dist", "id"], k)
 
 
 def check_probes(quick: int, expanded: int) -> tuple[int, int]:
-    expanded = expanded if 1 <= expanded <= c.MOST_PROBES else c.EXPANDED_PROBES
-    return (quick if 1 <= quick <= expanded else min(c.QUICK_PROBES, expanded)), expanded
+    """Both within bounds: expanded from 1 to MOST_PROBES, quick from 1 to expanded."""
+    expanded = min(max(expanded, 1), c.MOST_PROBES)
+    return min(max(quick, 1), expanded), expanded
 
 
-def two_tier(queries: DataFrame, centroids: DataFrame, postings: DataFrame, quick: int = c.QUICK_PROBES, expanded: int = c.EXPANDED_PROBES) -> DataFrame:
+def two_tier(queries: DataFrame, centroids: DataFrame, postings: DataFrame, quick: int = c.QUICK_PROBES, expanded: int = c.EXPANDED_PROBES, kept: Kept | None = None) -> DataFrame:
     """qid, first, second, votes, path: two or three votes of the quick tier are asked again of more clusters, by the quantized query, and replaced.
 
-    Centroids are ranked once, for both tiers.
+    Queries are made and centroids ranked once, for both tiers. kept: holds what
+    is read more than once, for the caller to release when the result is read.
     """
+    kept = kept or Kept()
     quick, expanded = check_probes(quick, expanded)
-    ranked = ranked_centroids(queries, centroids, expanded).select("qid", "cid", "rank")
-    ranked = ranked.persist()  # both tiers and the choice between them read these
-    first = votes(queries, probe(queries, ranked.where(F.col("rank") <= quick), postings, True), "first").persist()
+    queries = kept(queries.select("qid", "q", "h"))
+    ranked = kept(ranked_centroids(queries, centroids, expanded).select("qid", "cid", "rank"))
+    first = kept(votes(queries, probe(queries, ranked.where(F.col("rank") <= quick), postings, True), "first"))
     unsure = first.where(F.col("first").isin(2, 3)).select("qid")
     again = queries.join(unsure, "qid", "left_semi")
     second = votes(again, probe(again, ranked.join(unsure, "qid", "left_semi"), postings, False), "second")
@@ -145,6 +210,26 @@ def two_tier(queries: DataFrame, centroids: DataFrame, postings: DataFrame, quic
     return both.select("qid", "first", "second", F.coalesce("second", "first").alias("votes"), F.when(F.col("second").isNull(), 0).otherwise(2).alias("path"))
 
 
+def warm(centroids: DataFrame, postings: DataFrame, samples: int = 8, kept: Kept | None = None) -> DataFrame:
+    """Reads all postings into memory, asks for up to `samples` centroids spread over all of them, and returns cid and votes of each."""
+    kept = kept or Kept()
+    postings = kept(postings)
+    postings.count()
+    n = centroids.count()
+    step = max(1, n // samples)
+    order = F.row_number().over(W.orderBy("cid")) - 1  # a row a centroid, of which there are at most MOST_CENTROIDS
+    some = centroids.withColumn("at", order).where((F.col("at") % step == 0) & (F.col("at") < step * samples))
+    asked = some.select(F.col("cid").alias("qid"), F.col("c").alias("q"), F.transform("c", lambda x: x * (c.FINE // c.SCALE)).alias("h"))
+    return two_tier(asked, centroids, postings, kept=kept).select(F.col("qid").alias("cid"), "votes")
+
+
+def checksum(listed: DataFrame, stride: int = 128) -> DataFrame:
+    """One number a cluster over every stride-th posting (cid, pos, id, q): cheap, and different where a file is not the one written."""
+    some = listed.where(F.col("pos") % stride == 0)
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda x, y: x + y)
+    return some.groupBy("cid").agg(F.count("*").alias("pages"), F.sum(total).alias("checksum"))
+
+
 def cells(queries: DataFrame) -> DataFrame:
     """qid, q, bucket, phase: a query's own and adjacent cells with its flags (phase 0), and its cell under the other flags (phase 1)."""
     a, r, last, km, flags = (F.col(x) for x in ("a", "r", "t", "k", "g"))

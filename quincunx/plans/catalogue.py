@@ -2,61 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import columns as f
-from ..operators import cluster, sample, score, search
+from ..operators import cluster, sample, score, search, trace
 from ..sources import tables
 from ..streaming import scorer
+from . import files, measures  # noqa: F401  they register their queries
 from . import oracle as o
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(made):
-        QUERIES[name] = made
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return made
-
-    return add
-
-
-def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(references id, label, q; queries qid, q, h, own)."""
-    v = tables.tx_vec(spark, d)
-    return tables.references(v).select(F.col("event_id").alias("id"), "label", "q"), tables.asked(v).select(F.col("event_id").alias("qid"), "q", "h", F.col("label").alias("own"))
-
-
-def _index(spark, d, k: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(centroids, postings, queries); what a stored index would hold is kept in memory, and on disk beyond it."""
-    v = tables.tx_vec(spark, d).persist()
-    refs, queries = tables.references(v).select(F.col("event_id").alias("id"), "label", "q"), tables.asked(v).select(F.col("event_id").alias("qid"), "q", "h", F.col("label").alias("own"))
-    cents = score.first_references(refs, k)
-    return cents, search.assign(refs, cents).persist(), queries
-
-
-def _emb(spark, d) -> DataFrame:
-    return tables.emb14(spark, d).withColumnRenamed("vec_id", "id")
-
-
-def _emb_assigned(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = _emb(spark, d)
-    cents = score.first_references(e, 32)
-    return cents, search.assign(e.select("id", "label", "q"), cents)
-
-
-def _r6(x) -> F.Column:
-    return F.round(x, 6)
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .registry import emb as _emb
+from .registry import emb_assigned as _emb_assigned
+from .registry import index as _index
+from .registry import r6 as _r6
+from .registry import split as _split
 
 
 # Scans, scalars and parsing.
@@ -124,20 +86,21 @@ query("quantize_vectors", f"WITH {o.EMB} SELECT id, CAST(p - 1 AS INTEGER) AS po
 query("dequantize_vectors", f"WITH {o.EMB} SELECT id, CAST(p - 1 AS INTEGER) AS pos, round(round(v[p] * 10000) * 0.0001::DOUBLE, 6) AS x FROM emb CROSS JOIN range(1, 15) r(p)")(lambda s, d: _emb(s, d).select("id", F.posexplode(f.dequantize(f.quantize(F.col("v")))).alias("pos", "y")).select("id", "pos", _r6("y").alias("x")))
 
 
-def _against_first(s, d, dist):
+def _against_some(s, d, dist):
+    """Every vector whose id is divisible by 50 against all vectors; the query set goes to all tasks in parts of bounded size."""
     e = _emb(s, d)
-    few = F.broadcast(e.orderBy("id").limit(5).select(F.col("id").alias("qid"), F.col("v").alias("w"), F.col("q").alias("u")))
-    return e.crossJoin(few).select("qid", "id", dist.alias("dist"))
+    some = e.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("v").alias("w"), F.col("q").alias("u"))
+    return search.against_all(some, e).select("qid", "id", dist.alias("dist"))
 
 
 def _against_sql(dist: str) -> str:
-    return f"WITH {o.EMB}, few AS (SELECT id AS qid, v AS w, q AS u FROM emb ORDER BY id LIMIT 5) SELECT qid, id, {dist} AS dist FROM emb CROSS JOIN few"
+    return f"WITH {o.EMB}, asked AS (SELECT id AS qid, v AS w, q AS u FROM emb WHERE id % 50 = 0) SELECT qid, id, {dist} AS dist FROM emb CROSS JOIN asked"
 
 
 _FLOAT = " + ".join(f"(v[{k}] - w[{k}]) * (v[{k}] - w[{k}])" for k in range(1, 15))
-query("l2_float", _against_sql(f"round({_FLOAT}, 6)"))(lambda s, d: _against_first(s, d, _r6(f.l2_sq(F.col("v"), F.col("w")))))
-query("l2_int", _against_sql(o.l2("q", "u")))(lambda s, d: _against_first(s, d, f.l2_sq(F.col("q"), F.col("u"))))
-query("l2_euclid", _against_sql(f"round(sqrt({_FLOAT}), 6)"))(lambda s, d: _against_first(s, d, _r6(F.sqrt(f.l2_sq(F.col("v"), F.col("w"))))))
+query("l2_float", _against_sql(f"round({_FLOAT}, 6)"))(lambda s, d: _against_some(s, d, _r6(f.l2_sq(F.col("v"), F.col("w")))))
+query("l2_int", _against_sql(o.l2("q", "u")))(lambda s, d: _against_some(s, d, f.l2_sq(F.col("q"), F.col("u"))))
+query("l2_euclid", _against_sql(f"round(sqrt({_FLOAT}), 6)"))(lambda s, d: _against_some(s, d, _r6(F.sqrt(f.l2_sq(F.col("v"), F.col("w"))))))
 
 query("grid_key", f"WITH {o.TX_VEC} SELECT event_id, CAST({o.KEY} AS BIGINT) AS bucket FROM (SELECT event_id, {o.PARTS} FROM tx_vec) x")(lambda s, d: tables.tx_vec(s, d).select("event_id", f.grid_key(*f.grid_parts(F.col("q"))).cast("long").alias("bucket")))
 query("stratum_key", f"WITH {o.TX_VEC} SELECT event_id, CAST({o.KEY} AS BIGINT) + CASE WHEN label = 1 THEN 1048576 ELSE 0 END AS stratum FROM (SELECT event_id, label, {o.PARTS} FROM tx_vec) x")(lambda s, d: sample.strata(tables.tx_vec(s, d)).select("event_id", F.col("stratum").cast("long").alias("stratum")))
@@ -229,7 +192,7 @@ query("knn5_exact", f"WITH v AS (SELECT vec_id, {o.whole([f'embedding[{k}]' for
 def _knn64(s, d):
     v = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), f.whole(F.col("embedding"), c.SCALE).alias("q"), F.lit(0).alias("label"))
     asked = v.where("id % 25 = 0").select(F.col("id").alias("qid"), "q")
-    found = search.first_per(v.crossJoin(F.broadcast(asked.withColumnRenamed("q", "a"))).where("qid <> id").select("qid", "id", f.l2_sq(F.col("a"), F.col("q"), 64).alias("dist")), "qid", ["dist", "id"], 5)
+    found = search.first_per(search.against_all(asked.withColumnRenamed("q", "a"), v).where("qid <> id").select("qid", "id", f.l2_sq(F.col("a"), F.col("q"), 64).alias("dist")), "qid", ["dist", "id"], 5)
     return found.select("qid", "id", "dist", "rank")
 
 
@@ -296,8 +259,7 @@ query("fraud_response_json", f"WITH {_TIERS} SELECT event_id, '{{\"approved\":'
 def _stream(s, d):
     """The flagship on a stream of payload files, which must equal the batch."""
     cents, postings, _ = _index(s, d)
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quincunx-")
-    top = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = tables.folder(s, "stream")
     tables.payload(tables.asked(tables.tx(s, d))).select("event_id", "body").repartition(4).write.json(f"{top}/in")
     scorer.start(scorer.read(s, f"{top}/in", 2), cents, postings, f"{top}/out", f"{top}/state").awaitTermination()
     return s.read.parquet(f"{top}/out").drop("batch")
@@ -348,45 +310,12 @@ query("costly_queries", f"WITH {_TIERS}, b AS (SELECT cid, CAST(ceil(count(*) /
 
 @query("prune_stage_stats")
 def _prune(s, d):
-    """How many candidates of the quick tier an early stop after 4, 6, 8 or 14 dimensions would leave, in scan order.
+    """How many candidates of the quick tier an early stop after 4, 6, 8 or 14 dimensions would leave, in scan order."""
+    cents, postings, q = _index(s, d)
+    return trace.prune(q, search.ranked_centroids(q, cents, 8), cluster.postings(postings)).drop("tail")
 
-    The running bound depends on the order, so each query's candidates are folded in order by a grouped function.
-    """
-    import numpy as np
 
-    cents, postings, q = _index(s, d)
-    ranked = search.ranked_centroids(q, cents, 8).select("qid", "cid", "rank")
-    listed = cluster.postings(postings).select("cid", "pos", "q")
-    rows = ranked.join(q.select("qid", F.col("q").alias("asked")), "qid").join(listed, "cid")
-
-    def fold(key, part):
-        part = part.sort_values(["rank", "pos"])
-        delta = (np.stack(part["q"]) - np.stack(part["asked"])).astype(np.int64) ** 2
-        partial = delta.cumsum(1)
-        best: list[int] = []
-        out = dict.fromkeys((4, 6, 8, 14), 0)
-        survived = 0
-        for row in partial:
-            worst = best[-1] if len(best) == 5 else None
-            stop = None if worst is None else next((n for n in out if row[n - 1] >= worst), None)
-            if stop:
-                out[stop] += 1
-                continue
-            survived += 1
-            best = sorted([*best, int(row[-1])])[:5]
-        import pandas as pd
-
-        return pd.DataFrame([[key[0], len(part), *out.values(), survived]], columns=["qid", "scanned", "pruned4", "pruned6", "pruned8", "pruned14", "survived"])
-
-    return rows.groupBy("qid").applyInPandas(fold, "qid long, scanned long, pruned4 long, pruned6 long, pruned8 long, pruned14 long, survived long")
-
-
-_ROUNDS = [(1, "12.5ms", 0, 980.0), (2, "14.25ms", 1, 970.5), (3, "11.0ms", 0, 991.25)]
-query("round_summary", f"SELECT min(p) AS best, max(p) AS worst, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS spread, CAST(sum(errors) AS BIGINT) AS errors FROM (SELECT CAST(regexp_replace(p99, 'ms$', '') AS DOUBLE) AS p, errors FROM (VALUES {', '.join(f'({a}, {b!r}, {e})' for a, b, e, _ in _ROUNDS)}) v(round, p99, errors)) x")(
-    lambda s, d: s.createDataFrame(_ROUNDS, "round int, p99 string, errors int, score double").withColumn("p", F.regexp_replace("p99", "ms$", "").cast("double")).agg(F.min("p").alias("best"), F.max("p").alias("worst"), _r6(F.avg("p")).alias("mean"), _r6(F.stddev_pop("p")).alias("spread"), F.sum("errors").alias("errors"))
-)
 query("split_k_list", "SELECT k FROM (VALUES (3072), (3584), (4096)) v(k)")(lambda s, d: s.createDataFrame([(" 3072, ,3584,4096 ",)], "ks string").select(F.explode(F.filter(F.transform(F.split("ks", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("k")).select(F.col("k").cast("int").alias("k")))
-query("snapshot_delta", "SELECT key, b - a AS delta FROM (VALUES ('usage', 10, 250), ('throttled', 3, 3)) v(key, a, b)")(lambda s, d: (lambda a, b: a.join(b, "key").select("key", (F.col("b") - F.col("a")).alias("delta")))(s.createDataFrame([("usage", 10), ("throttled", 3)], "key string, a int"), s.createDataFrame([("usage", 250), ("throttled", 3)], "key string, b int")))
 query("header_values", "SELECT * FROM (VALUES ('Connection: Close', 'Close', true, NULL), ('content-length: 42x', '42x', false, 42)) v(line, value, closes, number)")(
     lambda s, d: s.createDataFrame([("Connection: Close",), ("content-length: 42x",)], "line string").select("line", F.trim(F.substring_index("line", ":", -1)).alias("value"), (F.lower(F.trim(F.substring_index("line", ":", -1))) == "close").alias("closes"), F.regexp_extract(F.trim(F.substring_index("line", ":", -1)), "^[0-9]+", 0).try_cast("int").alias("number"))
 )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,10 +126,64 @@ def parse(bodies: DataFrame, body: str = "body") -> DataFrame:
     return rows.select(*[x for x in bodies.columns], *[v.alias(k) for k, v in cols.items()], (F.coalesce(some, F.lit(0)) > 0).alias("valid"))
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the folder that all executors share; a local one only in local mode where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quincunx-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {vector, label}: vector, label (1 for fraud) and q."""
-    rows = spark.read.schema("vector ARRAY<FLOAT>, label STRING").option("multiLine", True).json(path)
-    return rows.select("vector", F.when(F.col("label") == "fraud", 1).otherwise(0).alias("label"), f.quantize("vector").alias("q"))
+    """JSON arrays of {vector, label}, one a file: id (place), vector, label (1 for fraud) and q, as longs."""
+    rows = spark.read.schema("vector ARRAY<FLOAT>, label STRING").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return rows.select(F.monotonically_increasing_id().alias("id"), "vector", F.when(F.col("label") == "fraud", 1).otherwise(0).alias("label"), f.quantize("vector").cast("array<bigint>").alias("q"))
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Files of {entries: [{request, expected_approved, expected_fraud_score}]}: entry (place), body (the request's JSON) and what is expected."""
+    entry = "STRUCT<request: STRING, expected_approved: BOOLEAN, expected_fraud_score: DOUBLE>"
+    files = spark.read.schema(f"entries ARRAY<{entry}>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    rows = files.select(F.explode("entries").alias("e")).select(F.monotonically_increasing_id().alias("entry"), "e.*")
+    return rows.withColumnRenamed("request", "body")
+
+
+def read_rounds(spark: SparkSession, path: str) -> DataFrame:
+    """Load-test results, results-round-N.json each: round, p99 (milliseconds), errors, score."""
+    kind = "p99 STRING, scoring STRUCT<breakdown: STRUCT<http_errors: INT>, final_score: DOUBLE>"
+    rows = spark.read.schema(kind).option("multiLine", True).json(f"{path}/results-round-*.json")
+    number = F.regexp_extract("_metadata.file_path", r"results-round-(\d+)\.json", 1).cast("int")
+    return rows.select(number.alias("round"), F.regexp_replace("p99", "ms$", "").try_cast("double").alias("p99"), F.col("scoring.breakdown.http_errors").alias("errors"), F.col("scoring.final_score").alias("score"))
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Lines `key number` of cgroup-round-N-{before,after}/SERVICE.txt: round, phase, service, key, value."""
+    lines = spark.read.text(f"{path}/cgroup-round-*-*/*.txt")
+    at = lambda k: F.regexp_extract("_metadata.file_path", r"cgroup-round-(\d+)-(before|after)/([^/]+)\.txt", k)
+    parts = F.split(F.trim("value"), " +")
+    rows = lines.select(at(1).cast("int").alias("round"), at(2).alias("phase"), at(3).alias("service"), parts[0].alias("key"), F.get(parts, F.lit(1)).try_cast("long").alias("value"), F.size(parts).alias("n"))
+    return rows.where(F.col("key").rlike("^[A-Za-z_.]+$") & (F.col("n") == 2) & F.col("value").isNotNull()).drop("n")
+
+
+def snapshot_deltas(snapshots: DataFrame) -> DataFrame:
+    """round, service, key, delta: after less before; what one of them lacks counts as 0."""
+    signed = F.when(F.col("phase") == "after", F.col("value")).otherwise(-F.col("value"))
+    return snapshots.groupBy("round", "service", "key").agg(F.sum(signed).alias("delta"))
+
+
+def synthetic(spark: SparkSession, n: int) -> DataFrame:
+    """event_id and body of n requests: by turns a plain one and one with a last transaction of the day before."""
+    kinds = "requested_at string, amount double, installments int, customer_avg double, tx_count_24h int, known_merchants array<string>, merchant_id string, mcc string, merchant_avg double, is_online boolean, card_present boolean, km_from_home double, last_timestamp string, km_from_current double, turn int"
+    rows = [
+        ("2026-03-02T14:30:00Z", 120.0, 2, 80.0, 1, ["MERC-1", "MERC-2"], "MERC-1", "5411", 60.0, False, True, 4.0, None, None, 0),
+        ("2026-03-03T00:05:00Z", 4800.0, 12, 95.0, 17, ["MERC-3"], "MERC-9", "6011", 350.0, True, False, 640.0, "2026-03-02T23:55:00Z", 410.0, 1),
+    ]
+    both = spark.createDataFrame(rows, kinds)
+    turns = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 2).cast("int").alias("turn"))
+    return payload(turns.join(F.broadcast(both), "turn").drop("turn"))
 
 
 def read_risks(spark: SparkSession, path: str) -> DataFrame:
