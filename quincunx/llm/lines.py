@@ -55,7 +55,8 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def line_id(line: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))).view(np.int64))
+    value = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def shingles(line: str) -> set[str]:
@@ -171,14 +172,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in runtime.small(batch):
-                out: tuple[list, ...] = ([], [], [], [])
-                for rid, doc_id, text in zip(*(part[c].to_pylist() for c in ("rid", "doc_id", "text")), strict=True):
-                    for pos, line in enumerate((text or "").split("\n")):
-                        if line.strip():
-                            for column, value in zip(out, (line_id(line), doc_id, rid, pos), strict=True):
-                                column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["line", "doc_id", "rid", "pos"])
+                found, places, times = [], [], []
+                for text in part["text"].to_pylist():
+                    split = (text or "").split("\n")
+                    kept = [pos for pos, line in enumerate(split) if line.strip()]
+                    found += [line_id(split[pos]) for pos in kept]
+                    places += kept
+                    times.append(len(kept))
+                row = pa.array(np.repeat(np.arange(len(times)), times))
+                yield pa.record_batch([pa.array(found, pa.int64()), part["doc_id"].take(row), part["rid"].take(row), pa.array(places, pa.int32())], ["line", "doc_id", "rid", "pos"])
 
     return numbered(docs).mapInArrow(run, "line long, doc_id long, rid long, pos int")
 
