@@ -7,10 +7,10 @@ unigram models, merges ranked by piece score for BPE models, with byte fallback.
 A text is split where no piece can reach across (before a marker that follows
 another character, and before a closing sign that follows a letter; both are
 checked against the vocabulary), each distinct part is encoded once by a
-multithreaded batch and kept in a bounded cache. Each new unit (a word with its
-marker, put together from its parts) is compared with the sentencepiece
-library's ids; where they differ it takes the library's and is counted. Models
-whose pieces reach across markers have whole texts encoded, and compared.
+multithreaded batch and kept in a bounded cache. Each new part, a tail without a
+marker too, is compared with the sentencepiece library's ids; where they differ
+it takes the library's and is counted. Models whose pieces reach across markers
+have whole texts encoded, and compared.
 
 Null and empty texts have no ids; texts of any length are encoded whole;
 repeated rows give repeated results; where two segmentations have one score, the
@@ -172,10 +172,11 @@ class Codec:
         #: Ids of marker + word, of stems (a word up to a closing sign, with its marker) and of other units.
         self.words: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
-        self.odd: set[str] = set()  # units on which backend and library differ
+        self.odd: set[str] = set()  # parts on which backend and library differ
         joined = "\n".join(p for p, _, _ in self.model.pieces)
-        closers = "".join(c for c in ".,;:!?" if not re.search(rf"{_LETTER}{re.escape(c)}", joined))
-        self.stem = re.compile(rf"(.*?{_LETTER})([{closers}].*)", re.S) if closers and self.split else None
+        self.closers = "".join(c for c in ".,;:!?" if not re.search(rf"{_LETTER}{re.escape(c)}", joined))
+        self.stem = re.compile(rf"(.*?{_LETTER})([{self.closers}].*)", re.S) if self.closers and self.split else None
+        self.letter = self.library.encode("a") if self.library else []
         self.charsmap = None
         if self.model.charsmap:
             from tokenizers import normalizers
@@ -199,34 +200,40 @@ class Codec:
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
 
     def _learn(self, parts: set[str]) -> None:
-        """Ids of parts not seen before, by one batch."""
+        """Ids of parts not seen before, by one batch, each compared with the library's."""
         new = [u for u in parts if u not in self.cache]
         if len(self.cache) + len(new) > CACHE_UNITS:
             self.cache = {u: self.cache[u] for u in parts if u in self.cache}
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
+        if not new:
+            return
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.cache.update((unit, array(self.kind.char, e.ids).tobytes()) for unit, e in zip(new, found, strict=True))
-
-    def _checked(self, asked: list[str], ids: list[bytes], names: list[str]) -> list[bytes]:
-        """ids, or the library's for the texts asked for; names: what differs is known by."""
-        if not self.library or not asked:
-            return ids
-        expected = [array(self.kind.char, x).tobytes() for x in self.library.encode(asked, num_threads=1)]
-        if expected != ids:
-            self.odd.update(n for n, a, b in zip(names, ids, expected, strict=True) if a != b)
-        return expected
+        if self.library and self.model.add_dummy_prefix:
+            # The library puts a marker in front itself; a part of nothing else cannot be asked for, and a tail is asked for behind a letter.
+            marked = [u for u in new if u[0] == MARK != u]
+            tails = [u for u in new if self.closers and u[0] in self.closers]
+            self._compare(marked, [u[1:] for u in marked], 0)
+            self._compare(tails, [f"a{u}" for u in tails], len(self.letter))
+
+    def _compare(self, parts: list[str], asked: list[str], skipped: int) -> None:
+        """Where the library's ids, but for the first few, are others than a part's, they take their place."""
+        for part, ids in zip(parts, self.library.encode(asked, num_threads=1) if asked else [], strict=True):
+            expected = array(self.kind.char, ids[skipped:]).tobytes()
+            if self.cache[part] != expected:
+                self.cache[part] = expected
+                self.odd.add(part)
 
     def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        found = [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.odd.clear()
-        ids = self._checked(texts, found, texts)
-        return [(np.frombuffer(x, self.kind), int(t in self.odd)) for t, x in zip(texts, ids, strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = self.library.encode(texts, num_threads=1) if self.library else found
+        return [(np.array(y, self.kind), int(x != y)) for x, y in zip(found, ids, strict=True)]
 
     def _parts(self, unit: str) -> tuple[str, ...]:
         found = self.stem.fullmatch(unit) if self.stem else None
         return found.groups() if found else (unit,)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """(ids, units that took the library's answer) of each text."""
+        """(ids, parts that took the library's answer) of each text."""
         if not self.split:
             return self._whole(texts)
         # Words between single blanks are kept by themselves; anything else is cut into units with their markers.
@@ -242,16 +249,12 @@ class Codec:
         other = {u: self._parts(u) for s, e in zip(split, easy, strict=True) if not e for u in s}
         self._learn({x for ps in (*parts.values(), *other.values()) for x in ps})
         join = lambda ps: b"".join(map(self.cache.__getitem__, ps))
-        words = list(parts)
-        self.words.update(zip(words, self._checked(words, [join(parts[w]) for w in words], [MARK + w for w in words]), strict=True))
+        self.words.update((w, join(ps)) for w, ps in parts.items())
         other = {u: join(ps) for u, ps in other.items()}
-        # The library puts a marker in front itself; a unit without one, or of nothing else, cannot be asked for.
-        asked = [u for u in other if self.model.add_dummy_prefix and u[0] == MARK != u]
-        other.update(zip(asked, self._checked([u[1:] for u in asked], [other[u] for u in asked], asked), strict=True))
         out = []
         for units, e in zip(split, easy, strict=True):
             ids = np.frombuffer(b"".join(map((self.words if e else other).__getitem__, units)), self.kind)
-            out.append((ids, sum((MARK + u if e else u) in self.odd for u in units) if self.odd else 0))
+            out.append((ids, sum(x in self.odd for u in units for x in self._parts(MARK + u if e else u)) if self.odd else 0))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

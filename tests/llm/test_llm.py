@@ -227,10 +227,10 @@ def test_pieces_that_differ_take_the_librarys_ids():
 
     class Other:
         def encode(self, texts, num_threads=1):
-            return [[7, 8] for _ in texts]
+            return [[*c.letter, 9] if t[0] == "a" else [7, 8] for t in texts]
 
     c.library = Other()
-    assert [(x.tolist(), n) for x, n in c.encode_batch(["well, this", "a  b", ""])] == [([7, 8, 7, 8], 2), ([7, 8, 7, 8], 2), ([], 0)]
+    assert [(x.tolist(), n) for x, n in c.encode_batch(["well, this", "b  c", ""])] == [([7, 8, 9, 7, 8], 3), ([7, 8, 7, 8], 2), ([], 0)]
 
 
 def test_pii():
