@@ -52,6 +52,8 @@ SKETCH_BITS = 20
 FEW = 8
 BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: What a blank line is made of: all that str.strip() takes off.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def line_id(line: str) -> int:
@@ -116,16 +118,15 @@ def signatures(lines: list[str]) -> np.ndarray:
     h ^= h >> np.uint32(13)
     h *= np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(16)
-    line = np.repeat(np.arange(len(low)), sizes)
-    inside = np.ones(len(codes), bool)
+    cell = np.repeat(np.arange(0, len(low) * BINS, BINS), sizes)[: len(h)]
+    cell += (h >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)
+    h *= np.uint32(0x2C1B3C6D)
     ends = np.cumsum(sizes)
-    for k in range(1, SHINGLE):
-        inside[ends - k] = False
-    inside = inside[: len(h)]
-    h, line = h[inside], line[: len(inside)][inside]
-    cell = line * BINS + ((h.astype(np.uint64) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+    for k in range(1, SHINGLE):  # windows over a line's end count as empty
+        across = ends - k
+        h[across[across < len(h)]] = _EMPTY
     out = np.full(len(low) * BINS, _EMPTY, np.uint32)
-    np.minimum.at(out, cell, h * np.uint32(0x2C1B3C6D))
+    np.minimum.at(out, cell, h)
     out = out.reshape(-1, BINS)
     original = out != _EMPTY
     full = original.copy()
@@ -149,7 +150,7 @@ def bands(lines: list[str]) -> np.ndarray:
     return h
 
 
-def _portions(lines: list[str], most: int = 250_000):
+def _portions(lines: list[str], most: int = 100_000):
     """Runs of lines whose working arrays stay in the processor's cache, as far as a single line lets them."""
     start = size = 0
     for k, line in enumerate(lines):
@@ -571,19 +572,23 @@ def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     work = runtime.Workspace(docs.sparkSession)
     kept, n_gone = runtime.fresh(docs, "kept"), runtime.fresh(docs, "n_gone")
     out = without(docs, work, similar, kept, n_gone)
-    out = out.where((F.col(n_gone) == 0) | F.col(kept).rlike(r"\S"))
+    out = out.where((F.col(n_gone) == 0) | (F.ltrim(F.col(kept), F.lit(BLANKS)) != ""))
     changed = {"text": F.col(kept).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col(n_gone) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(changed.get(c, F.col(runtime.quoted(c))).alias(c) for c in docs.columns))
 
 
+def line_count(text):
+    """How many lines of a text (null: empty) are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")).cast("long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256 of every document."""
     docs = runtime.id_and_text(runtime.table(spark, sf_dir, "documents"))
     found = without(docs, runtime.Workspace(spark))
-    n_lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S[^\n]*"))  # from a line's first sign to its end
-    return found.select("doc_id", n_lines.cast("long").alias("n_lines"), F.col("n_gone").alias("n_removed"), F.sha2(F.coalesce("text_kept", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", line_count(F.col("text")).alias("n_lines"), F.col("n_gone").alias("n_removed"), F.sha2(F.coalesce("text_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute(rows: list[tuple[int | None, str | None]], similar: float = SIMILAR) -> dict:
