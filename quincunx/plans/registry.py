@@ -30,8 +30,8 @@ def _parts(v: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(references id, label, q; queries qid, q, h, own)."""
-    return _parts(tables.tx_vec(spark, d))
+    """(references id, label, q; queries qid, q, h, own), both of vectors that are made once and kept, on disk beyond memory."""
+    return _parts(tables.tx_vec(spark, d).persist())
 
 
 def index(spark, d, k: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -72,6 +72,35 @@ def test_nearest_is_exact():
         assert col[row == i].tolist() == want and dist[row == i].tolist() == [exact[j] for j in want]
 
 
+@pytest.mark.parametrize("most", [6, 10**4, 10**8])
+def test_nearest_by_leaves_is_exact(most):
+    """More rows than are compared at once: ties, equal rows, rows one apart, and leaves of which none may be left out."""
+    rng = np.random.default_rng(most)
+    a, b = rng.integers(-most, most, (300, 14)), rng.integers(-most, most, (9000, 14))
+    b[:300], b[1000:3000] = a, b[5000:7000]
+    b[7000:7300] = a + rng.integers(-1, 2, a.shape)
+    row, col, dist = search.nearest(a, b, 5)
+    assert len(a) * len(b) > search.SMALL and row.tolist() == [i for i in range(len(a)) for _ in range(5)]
+    for i in range(len(a)):
+        exact = ((a[i] - b) ** 2).sum(1)
+        want = np.lexsort((np.arange(len(b)), exact))[:5]
+        assert col[5 * i : 5 * i + 5].tolist() == want.tolist() and dist[5 * i : 5 * i + 5].tolist() == exact[want].tolist()
+
+
+def test_exact_makes_no_pairs(spark):
+    """Comparing all must not join queries with references: their product was what took the time."""
+    refs = spark.createDataFrame([(i, i % 2, [(i * 7919) % 11 * 100] * 14) for i in range(90)], "id long, label int, q array<bigint>")
+    asked = spark.createDataFrame([(i, [i * 40] * 14) for i in range(11)], "qid long, q array<bigint>")
+    near = search.exact(asked, refs)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "CoGroup" in plan
+    want = {q: sorted((14 * (q * 40 - (i * 7919) % 11 * 100) ** 2, i, i % 2) for i in range(90))[:5] for q in range(11)}
+    found = {q: [] for q in want}
+    for r in near.orderBy("qid", "rank").collect():
+        found[r["qid"]].append((r["dist"], r["id"], r["label"]))
+    assert found == want
+
+
 def test_against_all_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i,) for i in range(30)], "id int")
     few = rows.select(F.col("id").alias("qid")).where("qid % 3 = 0")
