@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _kept(v: DataFrame) -> DataFrame:
+    """What references and queries need of vectors, kept in memory, and on disk beyond it: no features, fine components of queries alone."""
+    return v.select("event_id", "label", "q", F.when(F.col("event_id") % 50 == 0, F.col("h")).alias("h")).persist()
+
+
 def _parts(v: DataFrame) -> tuple[DataFrame, DataFrame]:
     refs = tables.references(v).select(F.col("event_id").alias("id"), "label", "q")
     return refs, tables.asked(v).select(F.col("event_id").alias("qid"), "q", "h", F.col("label").alias("own"))
@@ -31,12 +36,12 @@ def _parts(v: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split(spark, d) -> tuple[DataFrame, DataFrame]:
     """(references id, label, q; queries qid, q, h, own), both of vectors that are made once and kept, on disk beyond memory."""
-    return _parts(tables.tx_vec(spark, d).persist())
+    return _parts(_kept(tables.tx_vec(spark, d)))
 
 
 def index(spark, d, k: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(centroids, postings, queries); what a stored index would hold is kept in memory, and on disk beyond it."""
-    refs, queries = _parts(tables.tx_vec(spark, d).persist())
+    refs, queries = _parts(_kept(tables.tx_vec(spark, d)))
     cents = score.first_references(refs, k)
     return cents, search.assign(refs, cents).persist(), queries
 

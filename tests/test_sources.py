@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quincunx.functions import columns as f
 from quincunx.operators import cluster, sample, score, search, trace
 from quincunx.plans import catalogue
 from quincunx.sources import tables
@@ -101,6 +102,35 @@ def test_exact_makes_no_pairs(spark):
     assert found == want
 
 
+def test_grid_makes_no_pairs(spark, monkeypatch):
+    """Neighbours by cells in small parts against plain loops over all cells; queries are not joined with rows."""
+    monkeypatch.setattr(search, "PART_ROWS", 7)
+    monkeypatch.setattr(search, "PART_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    q = rng.integers(0, 10001, (400, 14))
+    q[:, [0, 2, 7]] //= 4
+    q[::3, [5, 6]] = -10000
+    q[200:250] = q[100:150]  # ties
+    rows = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(q)], "id long, label int, q array<bigint>")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "q")
+    near = search.grid(asked, rows.withColumn("bucket", f.grid_key(*f.grid_parts(F.col("q")))))
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan
+    cell = lambda x: (min(x[0] * 16 // 10000, 15), min(x[2] * 8 // 10000, 7), 0 if x[5] < 0 else 1 + min(x[5] * 8 // 10000, 7), min(x[7] * 16 // 10000, 15), sum(b for k, b in ((9, 1), (10, 2), (11, 4)) if x[k] > 5000))
+    at = [tuple(int(v) for v in cell(x)) for x in q]
+    number = lambda x: (((x[0] * 8 + x[1]) * 9 + x[2]) * 16 + x[3]) * 8 + x[4]
+    want = []
+    for i in range(0, 400, 20):
+        a, found = at[i], []
+        for j, b in enumerate(at):
+            close = a[4] == b[4] and all(abs(x - y) <= 1 for x, y in zip(a[:4], b[:4], strict=True)) and (a[2] > 0 or b[2] == 0)
+            if close or (a[:4] == b[:4] and a[4] != b[4]):
+                found.append((int(((q[i] - q[j]) ** 2).sum()), 0 if close else 1, number(b), j))
+        main = sum(x[1] == 0 for x in found)
+        want += [(i, x[3], x[0], x[1]) for x in sorted(x for x in found if x[1] == 0 or main < 5)[:5]]
+    assert sorted((r["qid"], r["id"], r["dist"], r["phase"]) for r in near.collect()) == sorted(want)
+
+
 def test_against_all_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i,) for i in range(30)], "id int")
     few = rows.select(F.col("id").alias("qid")).where("qid % 3 = 0")
