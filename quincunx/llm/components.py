@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import Workspace
 
+#: So many edges, at most (16 bytes each), are joined on the driver: steps over so few cost nothing but their scheduling.
+FEW_EDGES = 1 << 18
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least index of its set, by pointers) after joining a with b."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def joined(edges: pa.Table) -> pa.Table:
+    """node, root of a small edge list (a, b)."""
+    ends = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()])
+    nodes, at = np.unique(ends, return_inverse=True)
+    label = unite(np.arange(len(nodes)), at[: len(edges)], at[len(edges) :])
+    return pa.table({"node": nodes, "root": nodes[label]})
+
 
 def components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b: longs); root is the component's smallest node.
@@ -16,8 +45,9 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
     node's least neighbour is aggregated, with partial sums before the exchange,
     and written; the join that brings it back then has a plain exchange on
     either side, so that a node with very many neighbours is split as any skewed
-    join is. Only one number a step comes to the driver. Loops, repeats and rows
-    with a null are ignored; an empty list has no components.
+    join is. Only one number a step comes to the driver; a list of at most
+    FEW_EDGES comes there whole instead. Loops, repeats and rows with a null are
+    ignored; an empty list has no components.
     """
 
     def stars(df: DataFrame) -> bool:
@@ -31,6 +61,8 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
 
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
     at = work.put(ordered.where("a > b").distinct(), f"{name}-0")
+    if at.count() <= FEW_EDGES:
+        return work.put(work.spark.createDataFrame(joined(at.toArrow()), "node long, root long"), f"{name}-joined")
     k = 0
     while not stars(at):
         k += 1

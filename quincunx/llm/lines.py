@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .components import components
+from .components import FEW_EDGES, components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 14, 5, 0.8
 #: Bits (2 to this power) of the filter for lines whose text is wanted, and how many a line sets.
 FILTER_BITS, FILTER_HASHES = 26, 3
 #: Shingles are counted in so many cells (2 to this power) where groups are compared shingle by shingle.
 SKETCH_BITS = 20
+#: These cells travel in so many slices, each of at most 2**16 cells.
+SKETCH_SLICES = 256
 #: So many lines of a band, at most, are compared with all of its lines.
 FEW = 8
 BINS = BANDS * ROWS
@@ -395,32 +397,71 @@ def shingle_counts(rooted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each of 2**SKETCH_BITS cells: in how many lines its shingles are (0 if all those lines have one root), and a root of many of them.
 
     The root is found by majority votes in each task, of which the surest is
-    taken. Any root will do: it is only what spares most comparisons.
+    taken. Any root will do: it is only what spares most comparisons. A task
+    sends its cells packed, a row for each of SKETCH_SLICES slices of the sketch,
+    whatever the lines; those who merge them hold a slice at a time.
     """
     size = 1 << SKETCH_BITS
+    width = size // SKETCH_SLICES
+    sent = np.dtype([("cell", np.uint16), ("n", np.int32), ("main", np.int64), ("votes", np.int32), ("mixed", np.bool_)])
+    told = np.dtype([("cell", np.uint16), ("n", np.int32), ("main", np.int64)])
 
     def run(batches):
-        n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
-        main, votes = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n, main, votes, mixed = np.zeros(size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, bool)
         for batch in batches:
             for part in runtime.small(batch, 1 << 20):
                 for root, text in zip(part["root"].to_pylist(), part["text"].to_pylist(), strict=True):
                     at = np.unique(_cell(_shingle_values(text)))
+                    same = main[at] == root
+                    mixed[at] |= ~same & (n[at] > 0)  # while all have one root, it is the main one
                     n[at] += 1
-                    least[at] = np.minimum(least[at], root)
-                    most[at] = np.maximum(most[at], root)
-                    votes[at] += np.where(main[at] == root, 1, -1)
+                    votes[at] += np.where(same, 1, -1).astype(np.int32)
                     lost = at[votes[at] < 0]
                     main[lost], votes[lost] = root, 1
         at = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(x) for x in (at, n[at], least[at], most[at], main[at], votes[at])], ["cell", "n", "least", "most", "main", "votes"])
+        cells = np.empty(len(at), sent)
+        for name, values in zip(sent.names, (at % width, n[at], main[at], votes[at], mixed[at]), strict=True):
+            cells[name] = values
+        cut = np.searchsorted(at, np.arange(SKETCH_SLICES + 1) * width)
+        took = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+        yield pa.record_batch([pa.array(took, pa.int32()), pa.array([cells[cut[k] : cut[k + 1]].tobytes() for k in took], pa.binary())], ["slice", "cells"])
 
-    counted = rooted.select("root", "text").mapInArrow(run, "cell long, n long, least long, most long, main long, votes long").groupBy("cell")
-    counted = counted.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max(F.struct("votes", "main"))["main"].alias("main"))
-    found = counted.where("least <> most").select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), "main").toArrow()  # at most 2**SKETCH_BITS rows
+    def merge(batches):
+        now, held = None, None
+
+        def close():
+            n, _, main, _, mixed = held
+            at = np.flatnonzero(mixed)
+            cells = np.empty(len(at), told)
+            for name, values in zip(told.names, (at, np.minimum(n[at], 2**31 - 1), main[at]), strict=True):
+                cells[name] = values
+            return pa.record_batch([pa.array([now], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["slice", "cells"])
+
+        for batch in batches:
+            for k, raw in zip(batch["slice"].to_pylist(), batch["cells"].to_pylist(), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield close()
+                    now, held = k, (np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1, np.int32), np.zeros(width, bool))
+                n, first, main, votes, mixed = held
+                cells = np.frombuffer(raw, sent)
+                at = cells["cell"]
+                first[at] = np.where(n[at] > 0, first[at], cells["main"])
+                mixed[at] |= cells["mixed"] | (first[at] != cells["main"])
+                n[at] += cells["n"]
+                surer = (cells["votes"] > votes[at]) | ((cells["votes"] == votes[at]) & (cells["main"] > main[at]))
+                main[at[surer]], votes[at[surer]] = cells["main"][surer], cells["votes"][surer]
+        if now is not None:
+            yield close()
+
+    kind = "slice int, cells binary"
+    packed = rooted.select("root", "text").mapInArrow(run, kind).repartition("slice").sortWithinPartitions("slice")
+    found = packed.mapInArrow(merge, kind).toArrow()  # at most 2**SKETCH_BITS cells
     count, main = np.zeros(size, np.int32), np.zeros(size, np.int64)
-    at = found["cell"].to_numpy()
-    count[at], main[at] = found["n"].to_numpy(), found["main"].to_numpy()
+    for k, raw in zip(found["slice"].to_pylist(), found["cells"].to_pylist(), strict=True):
+        cells = np.frombuffer(raw, told)
+        at = cells["cell"].astype(np.int64) + k * width
+        count[at], main[at] = cells["n"], cells["main"]
     return count, main
 
 
@@ -469,7 +510,10 @@ def sharing_prefixes(rooted: DataFrame, work: runtime.Workspace, similar: float)
 
 
 def extended(known: DataFrame, edges: DataFrame, work: runtime.Workspace, name: str) -> DataFrame:
-    """known (node, root) with more edges (a, b): only roots take part in what joins components, the others follow theirs."""
+    """known (node, root) with more edges (a, b): only roots take part in what joins components, the others follow theirs; a small list is joined anew."""
+    if known.count() <= FEW_EDGES:
+        every = known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges.select("a", "b"))
+        return work.put(components(every, work, f"{name}-top"), name)
 
     def up(df: DataFrame, end: str) -> DataFrame:
         roots = known.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -518,11 +562,10 @@ def linked(docs: DataFrame, work: runtime.Workspace, similar: float = SIMILAR) -
         work.drop("texts", "members", "crowded")
         return known
     again = members.join(crowded, "band").select("band", "line")
-    again = again.join(known, again.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+    again = work.put(again.join(known, again.line == known.node, "left").select("band", "line", F.coalesce("root", "line").alias("root")), "again")
     left = again.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-    left = work.put(left, "left")
-    again = work.put(again.join(left, "band").select("line", "root").distinct(), "again")
-    late = verified(sharing_prefixes(again.join(lines, "line"), work, similar), lines, similar).where("ok")
+    left = work.put(again.join(left, "band").select("line", "root").distinct(), "left")
+    late = verified(sharing_prefixes(left.join(lines, "line"), work, similar), lines, similar).where("ok")
     known = extended(known, late, work, "all")
     work.drop("texts", "members", "crowded", "left", "again", "placed", "joined", "known")
     return known

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .components import components
+from .components import components, unite
 
 #: The most members of a tree, about.
 SHARD = 1 << 15
@@ -128,22 +128,6 @@ class Trees:
         return (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each the least index of its set, by pointers) after joining a with b."""
-    while True:
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return label
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
 def forest(group: np.ndarray, member: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in each group. Rows are sorted by group, members first; others only query."""
     rows = np.flatnonzero(member)

@@ -345,6 +345,42 @@ def test_line_pairs_by_rare_shingles(spark):
     assert lines.sharing_prefixes(rows.limit(0), runtime.Workspace(spark), 0.8).count() == 0
 
 
+def test_shingle_counts_travel_in_slices(spark, monkeypatch):
+    import random
+
+    rnd, tasks = random.Random(11), 6
+    rows = [(rnd.choice([-5, -5, -5, 0, 3]), "".join(rnd.choices("abcd", k=400))) for _ in range(150)]
+    rows += [(9, "of one root only, in many lines")] * 20 + [(k - 2, "of four roots " * 3) for k in range(4)]
+    made = spark.sparkContext.accumulator(0)
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def counted(self, func, *args, **kwargs):
+        def run(batches):
+            for batch in func(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    for parts in (1, tasks):
+        made.value = 0
+        rooted = spark.createDataFrame(rows, "root long, text string").repartition(parts)
+        count, main = lines.shingle_counts(rooted)
+        by_cell = {}
+        for root, text in rows:
+            for cell in {int(lines._cell(np.array([lines.shingle_id(x)], np.uint64))[0]) for x in lines.shingles(text)}:
+                by_cell.setdefault(cell, []).append(root)
+        want = {cell: len(roots) for cell, roots in by_cell.items() if len(set(roots)) > 1}
+        assert {int(c): int(count[c]) for c in np.flatnonzero(count)} == want and len(want) > 1000
+        assert all(main[c] in by_cell[c] for c in want)
+        assert all(main[c] == r for c in want for r in set(by_cell[c]) if parts == 1 and by_cell[c].count(r) * 2 > len(by_cell[c]))
+        assert made.value <= (parts + 1) * lines.SKETCH_SLICES
+    count, main = lines.shingle_counts(rooted.limit(0))
+    assert not count.any() and not main.any()
+
+
 def test_lines_template_with_variants(spark):
     import random
 

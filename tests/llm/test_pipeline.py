@@ -166,6 +166,37 @@ def test_components_against_plain_unions(spark):
         assert dict(map(tuple, components.components(df, runtime.Workspace(spark)).collect())) == group
 
 
+def test_components_by_steps_and_on_the_driver(spark, monkeypatch):
+    """Both ways give the same; a small list takes few jobs, a list above the bound never comes to the driver."""
+    rng = np.random.default_rng(4)
+    ends = rng.integers(-(2**62), 2**62, 300)
+    pairs = [(int(ends[i]), int(ends[j])) for i, j in rng.integers(0, 300, (220, 2))] + [(int(ends[k]), int(ends[k + 1])) for k in range(40)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    tracker, found, jobs = spark.sparkContext.statusTracker(), [], []
+    for k, bound in enumerate((components.FEW_EDGES, len(set(pairs)), 0)):
+        monkeypatch.setattr(components, "FEW_EDGES", bound)
+        if not bound:
+            monkeypatch.setattr(components, "joined", None)
+        spark.sparkContext.setJobGroup(f"components-{k}", "")
+        found.append(sorted(map(tuple, components.components(df, runtime.Workspace(spark)).collect())))
+        jobs.append(len(tracker.getJobIdsForGroup(f"components-{k}")))
+    spark.sparkContext.setJobGroup("others", "")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+    assert jobs[0] <= 10 < jobs[2]
+
+
+def test_known_components_take_more_edges_both_ways(spark, monkeypatch):
+    work = runtime.Workspace(spark)
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)], [(3, 11), (11, 10), (40, 41), (21, 40), (2, 1)]
+    known = work.put(components.components(spark.createDataFrame(first, "a long, b long"), work, "first"), "known")
+    edges = spark.createDataFrame(more, "a long, b long")
+    want = {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 40: 20, 41: 20, 30: 30, 31: 30}
+    for k, bound in enumerate((lines.FEW_EDGES, 0)):
+        monkeypatch.setattr(lines, "FEW_EDGES", bound)
+        monkeypatch.setattr(components, "FEW_EDGES", bound)
+        assert sorted(map(tuple, lines.extended(known, edges, work, f"more-{k}").collect())) == sorted(want.items())
+
+
 def test_hot_keys_can_be_split(spark, tmp_path):
     """One node with very many neighbours: the join that brings its least neighbour back is split."""
     kept = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
