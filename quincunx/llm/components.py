@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace
+from .runtime import Workspace, packed
 
 #: So many edges, at most (16 bytes each), are joined on the driver: steps over so few cost nothing but their scheduling.
 FEW_EDGES = 1 << 18
@@ -37,7 +37,7 @@ def joined(edges: pa.Table) -> pa.Table:
     return pa.table({"node": nodes, "root": nodes[label]})
 
 
-def components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "components", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b: longs); root is the component's smallest node.
 
     Alternates large-star and small-star steps until the edges are stars: no
@@ -47,7 +47,8 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
     either side, so that a node with very many neighbours is split as any skewed
     join is. Only one number a step comes to the driver; a list of at most
     FEW_EDGES comes there whole instead. Loops, repeats and rows with a null are
-    ignored; an empty list has no components.
+    ignored; an empty list has no components. edges is evaluated once; rows: about
+    how many there are, for the files of the list.
     """
 
     def stars(df: DataFrame) -> bool:
@@ -60,7 +61,8 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
         return work.put(df.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), step)
 
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null")
-    at = work.put(ordered.where("a > b").distinct(), f"{name}-0")
+    at = ordered.where("a > b").distinct()
+    at = work.put(at if rows is None else packed(at, rows), f"{name}-0")
     if at.count() <= FEW_EDGES:
         return work.put(work.spark.createDataFrame(joined(at.toArrow()), "node long, root long"), f"{name}-joined")
     k = 0

@@ -39,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quincunx-{uuid.uuid4().hex}"
 
 
+#: Rows of a few numbers that are worth a file.
+FILE_ROWS = 1 << 14
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, narrow rows without hot keys and about so many, in no more partitions than they are worth.
+
+    Each task that writes a table makes a file, and without Hadoop's native
+    library a local file system starts three processes for each.
+    """
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 class Workspace:
     """Written tables of one operator call, or those under a folder that is given and stays.
 

@@ -188,16 +188,16 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
 def classes(docs: DataFrame, work: runtime.Workspace, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, print and component_id (the smallest doc_id reachable over links) of every row."""
     prints = work.put(fingerprints(docs, words, seed), "prints")
-    distinct = work.put(prints.groupBy("print").agg(F.min("doc_id").alias("low")), "distinct")
-    edges = work.put(links(distinct.select("print"), distinct.count(), radius), "links")
-    found = work.put(components(edges, work), "found")
+    distinct = work.put(runtime.packed(prints.groupBy("print").agg(F.min("doc_id").alias("low")), prints.count()), "distinct")
+    n = distinct.count()
+    found = work.put(components(links(distinct.select("print"), n, radius), work, rows=n), "found")
     # What is joined to many rows of a fingerprint or a component is written first, so that such a join can be split.
-    joined = work.put(distinct.join(found, distinct.print == found.node).select("print", "low", "root"), "rooted")
-    lowest = work.put(joined.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    named = joined.join(lowest, "root").select(F.col("print").alias("p"), "component_id")
+    joined = distinct.join(found, distinct.print == found.node)
+    lowest = work.put(runtime.packed(joined.groupBy("root").agg(F.min("low").alias("component_id")), n), "lowest")
+    named = found.join(lowest, "root").select(F.col("node").alias("p"), "component_id")
     low = distinct.join(named, distinct.print == named.p, "left").select(F.col("print").alias("q"), F.coalesce("component_id", "low").alias("component_id"))
-    low = work.put(low, "low")
-    work.drop("distinct", "links", "found", "rooted", "lowest")
+    low = work.put(runtime.packed(low, n), "low")
+    work.drop("distinct", "found", "lowest")
     return prints.join(low, prints.print == low.q).select("doc_id", "print", "component_id")
 
 
